@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +25,14 @@ def not_blank(text: Column | str) -> Column:
     """True where a text has something but blanks; null is blank."""
     c = F.col(text) if isinstance(text, str) else text
     return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
+def row_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts together have about most_bytes at most; a longer text is alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most_bytes, side="right")))
+        yield start, stop
+        start = stop

@@ -208,10 +208,10 @@ def scan_group(share: float):
     def run(train: pa.Table, held: pa.Table) -> pa.Table:
         if not train.num_rows or not held.num_rows:
             return schema.empty_table()
-        column = held["letters"].combine_chunks()
+        column = held["eval_letters"].combine_chunks()
         points, offsets = code_points(column)
         shard, sketch = Passages(column.to_pylist(), points, offsets, share), Sketch(points, offsets)
-        eval_key, out = held["key"].to_numpy(), []
+        eval_key, out = held["eval_key"].to_numpy(), []
         for batch in train.to_batches(max_chunksize=BATCH):
             texts = batch["letters"]
             points, offsets = code_points(texts)
@@ -238,8 +238,9 @@ def near_classes(classes: DataFrame, share: float = 0.15, shard_letters: int = 6
     chunk = F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    # The sides are of one table; the cogroup needs columns of its own on either, or it prunes them as the same.
     train = classes.where("trains").select("key", "letters", chunk.alias("chunk"), every(shards).alias("shard"))
-    held = classes.where("evals").select("key", "letters", every(chunks).alias("chunk"), shard.alias("shard"))
+    held = classes.where("evals").select(F.col("key").alias("eval_key"), F.col("letters").alias("eval_letters"), every(chunks).alias("chunk"), shard.alias("shard"))
     return (
         train.groupBy("chunk", "shard")
         .cogroup(held.groupBy("chunk", "shard"))

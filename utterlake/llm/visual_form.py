@@ -13,6 +13,7 @@ punctuation, digits drawn differently, tatweel, and one non-joiner between lette
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import row_slices
+
 SIZE = 0x110000
 #: Stands at the end of each row while rows are processed together.
 END = SIZE
@@ -257,11 +260,22 @@ def only_letters(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return t.lower[points[keep]], before[offsets]
 
 
+def in_slices(one: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """A function of a text array, done for a bounded amount of text at a time."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([one(texts[a:b]) for a, b in row_slices(texts)] or [pa.array([], pa.string())])
+
+    return run
+
+
+@in_slices
 def form_array(texts: pa.Array) -> pa.Array:
     """The form of each text of an Arrow array; null stays null."""
     return to_strings(*fold(*code_points(texts)), null=np.asarray(texts.is_null()))
 
 
+@in_slices
 def letters_array(texts: pa.Array) -> pa.Array:
     """The letters of each text of an Arrow array; null stays null."""
     t = tables()
@@ -290,9 +304,9 @@ def visual_form(text: Column | str) -> Column:
     Null gives null; a text of blanks and characters without width gives the empty string. Texts may
     be of any length; the form of a form is itself.
     """
-    return F.arrow_udf(form_array, "string")(text)
+    return F.arrow_udf(lambda texts: form_array(texts), "string")(text)
 
 
 def letters(text: Column | str) -> Column:
     """The letters of a text: its form's alphabetic characters in lower case, without tatweel and marks. Null gives null."""
-    return F.arrow_udf(letters_array, "string")(text)
+    return F.arrow_udf(lambda texts: letters_array(texts), "string")(text)
