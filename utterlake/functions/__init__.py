@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: text normalisers, error counts, hashing and rounding."""
