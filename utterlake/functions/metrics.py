@@ -10,7 +10,7 @@ from .text import col, normalize_ctc, normalize_eval, plain_text, words
 
 def coded(tokens: Column, table: Column) -> Column:
     """Tokens as one code point each: their place in a table of distinct tokens."""
-    point = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(table, t) + F.lit(255)), 4, "0")), F.lit("UTF-16BE"))
+    point = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(table, t) + F.lit(255)), 4, "0")), "UTF-16BE")
     return F.array_join(F.transform(tokens, point), "")
 
 

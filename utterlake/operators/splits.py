@@ -21,16 +21,19 @@ def hash_rank(df: DataFrame, key: str, seed: str = "42", by: list[str] | None =
     """
     by = by or []
     hashed = df.withColumn("_digest", seeded(key, seed)).withColumn("_range", F.substring("_digest", 1, prefix))
-    counts = hashed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(over), F.lit(0)), "total": F.sum("_n").over(whole)}).drop("_n")
-    same = F.lit(True)
-    for c in [*by, "_range"]:
-        same = same & hashed[c].eqNullSafe(counts[c])
-    ranked = hashed.join(counts, same).select(*[hashed[c] for c in hashed.columns], "_before", "total")
-    inside = Window.partitionBy(*by, "_range").orderBy("_digest", key)
-    return ranked.withColumn("rank", (F.col("_before") + F.row_number().over(inside)).cast("bigint")).drop("_digest", "_range", "_before")
+    names = [f"_by{k}" for k in range(len(by))]
+    hashed = hashed.withColumns(dict(zip(names, map(F.col, by)))) if by else hashed
+    counts = hashed.groupBy(*names, "_range").agg(F.count("*").alias("_n"))
+    ahead = (Window.partitionBy(*names) if by else Window.partitionBy()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*names) if by else Window.partitionBy()  # at most 16 ** prefix rows a group
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "total": F.sum("_n").over(whole)})
+    right = counts.select(*[F.col(c).alias(f"{c}_") for c in [*names, "_range"]], "_before", "total")
+    same = F.col("_range") == F.col("_range_")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    inside = Window.partitionBy(*names, "_range").orderBy("_digest", key)
+    ranked = hashed.join(right, same).withColumn("rank", (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
+    return ranked.drop("_digest", "_range", "_range_", "_before", *names, *[f"{c}_" for c in names])
 
 
 def group_split(rows: DataFrame, group_by: str = "speaker_id", validation: float = 0.1, test: float = 0.1, seed: str = "42") -> DataFrame:

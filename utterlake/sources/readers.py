@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schema import MANIFEST
 
@@ -119,7 +120,7 @@ class Verses(HTMLParser):
             self.text.append(data.strip())
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def verses(pages: pd.Series) -> pd.Series:
     """Verses of poem pages, in order."""
 
@@ -154,13 +155,13 @@ def pcm_of_wave(data: bytes, rate: int = 16_000) -> bytes | None:
     return np.rint(np.clip(mono, -1, 1 - 1 / 32768) * 32768).astype("<i2").tobytes()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decode_wave(data: pd.Series) -> pd.Series:
     """PCM samples of wave files (16 kHz, mono, 16 bits); null where they can't be read."""
     return data.map(lambda x: None if x is None else pcm_of_wave(bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_wave(pcm: pd.Series) -> pd.Series:
     """Wave files of PCM samples at 16 kHz."""
 
