@@ -22,8 +22,9 @@ from .common import split_name
 from .visual_form import code_points, letters
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-#: Training texts whose candidates are measured together, and of these the ones that are looked up together.
-BATCH, SLICE = 8192, 512
+#: Training texts whose candidates are measured together, of these the ones that are looked up
+#: together, and the hits times groups of entries that are held at once.
+BATCH, SLICE, GROUPS = 8192, 512, 1 << 19
 
 
 def most_edits(longer: np.ndarray, share: float) -> np.ndarray:
@@ -131,19 +132,12 @@ class Passages:
         return self.before[at + np.clip(low - least, 0, width)], self.before[at + np.clip(high - least + 1, 0, width)]
 
 
-def candidates(shard: Passages, sketch: Sketch, mine: Sketch, texts: list[str], size: np.ndarray, base: int, allowed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pairs of texts, numbered from base in mine, and rows of the shard that may be near-same: text, row, coverage."""
-    hits = [list(shard.automaton.iter(t)) for t in texts]
-    n = sum(map(len, hits))
-    flat = np.fromiter(chain.from_iterable(chain.from_iterable(hits)), np.int32, 2 * n).reshape(n, 2)
-    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in hits])
-    word = flat[:, 1]
-    start = flat[:, 0] - shard.length[word] + 1
-    # Each hit meets the groups of entries with its word, one for each place in the order of passages.
-    many = shard.groups[word + 1] - shard.groups[word]
-    hit = np.repeat(np.arange(n, dtype=np.int32), many)
-    group = np.arange(len(hit), dtype=np.int32) + np.repeat((shard.groups[word] - np.cumsum(many) + many).astype(np.int32), many)
-    reach, began, whole = shard.group_part[group], start[hit], size[text][hit]
+def near_entries(shard: Passages, sketch: Sketch, mine: Sketch, x: int, y: int, many: np.ndarray, text: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray, base: int, allowed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the hits x to y of some texts: texts, rows of the shard and entries that place, length and letter counts allow."""
+    many, own = many[x:y], word[x:y]
+    hit = np.repeat(np.arange(x, y, dtype=np.int32), many)
+    group = np.arange(len(hit), dtype=np.int32) + np.repeat((shard.groups[own] - np.cumsum(many) + many).astype(np.int32), many)
+    reach, began, whole = shard.group_part[group], start[hit], size[text[hit]]
     inner = reach > 0
     ok = np.flatnonzero(inner | (began == 0))
     hit, group, inner = hit[ok], group[ok], inner[ok]
@@ -155,9 +149,10 @@ def candidates(shard: Passages, sketch: Sketch, mine: Sketch, texts: list[str],
     entry = np.arange(len(hit), dtype=np.int32) + np.repeat(low - np.cumsum(many, dtype=np.int32) + many, many)
     # Edits before the passage move it, edits after it must bring the ends together.
     moved = start[hit] - shard.starts[entry]
-    rest = np.abs(size[text][hit] - shard.sizes[entry] - moved)
+    t = text[hit]
+    rest = np.abs(size[t] - shard.sizes[entry] - moved)
     ok = np.flatnonzero(rest <= shard.after[entry])
-    entry, moved, rest, t = entry[ok], np.abs(moved[ok]), rest[ok], text[hit[ok]]
+    entry, moved, rest, t = entry[ok], np.abs(moved[ok]), rest[ok], t[ok]
     most = allowed[np.maximum(size[t], shard.sizes[entry])]
     ok = np.flatnonzero(moved + rest <= most)
     t, most, entry = t[ok], most[ok], entry[ok]
@@ -167,6 +162,23 @@ def candidates(shard: Passages, sketch: Sketch, mine: Sketch, texts: list[str],
         moves += np.bitwise_count(mine.bits[level, t + base] ^ sketch.bits[level, e])
         ok = np.flatnonzero(moves <= 2 * most)
         t, e, most, entry, moves = t[ok], e[ok], most[ok], entry[ok], moves[ok]
+    return t, e, entry
+
+
+def candidates(shard: Passages, sketch: Sketch, mine: Sketch, texts: list[str], size: np.ndarray, base: int, allowed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of texts, numbered from base in mine, and rows of the shard that may be near-same: text, row, coverage."""
+    hits = [list(shard.automaton.iter(t)) for t in texts]
+    n = sum(map(len, hits))
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable(hits)), np.int32, 2 * n).reshape(n, 2)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in hits])
+    word = flat[:, 1]
+    start = flat[:, 0] - shard.length[word] + 1
+    # Each hit meets the groups of entries with its word, one for each place in the order of passages; so many at once.
+    many = shard.groups[word + 1] - shard.groups[word]
+    bounds = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + GROUPS, GROUPS), side="left") if n else np.zeros(1, np.int64)
+    bounds[-1] = n
+    near = [near_entries(shard, sketch, mine, x, y, many, text, word, start, size, base, allowed) for x, y in zip(bounds[:-1], bounds[1:])]
+    t, e, entry = (np.concatenate(x) for x in zip(*near)) if near else (np.zeros(0, np.int32),) * 3
     # Merge the matched intervals of a pair; passages are apart from each other, so lengths add up.
     pair, inverse = np.unique(t.astype(np.int64) * len(shard.size) + e, return_inverse=True)
     once = np.unique(inverse * (1 << 32) + shard.start[entry], return_index=True)[1]
