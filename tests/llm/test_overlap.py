@@ -47,7 +47,7 @@ def test_equals_all_pairs(spark, shards, monkeypatch):
         import utterlake.llm.overlap as overlap
 
         whole = overlap.near_classes
-        monkeypatch.setattr(overlap, "near_classes", lambda c, s: whole(c, s, 400, 2000))
+        monkeypatch.setattr(overlap, "near_classes", lambda c, s: whole(c, s, 400, 2000, 1000))
     base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(20, 70))) for _ in range(20)]
     base += ["ab" * rng.randrange(12, 40) for _ in range(6)] + ["a" * 40, "a" * 44, "سلام" * 9]
     rows = []

@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cores, written
@@ -234,7 +234,7 @@ def scan_group(share: float):
     return run
 
 
-def near_classes(classes: DataFrame, share: float = 0.15, shard_letters: int = 6_000_000, chunk_letters: int = 24_000_000) -> DataFrame:
+def near_classes(classes: DataFrame, share: float = 0.15, shard_letters: int = 6_000_000, chunk_letters: int = 24_000_000, least_chunk: int = 1_500_000) -> DataFrame:
     """Near-same pairs between different texts of the training side and of the evaluation side.
 
     classes: key bigint, letters string, trains, evals boolean (a text may be on both sides).
@@ -246,19 +246,34 @@ def near_classes(classes: DataFrame, share: float = 0.15, shard_letters: int = 6
     letters_of = lambda side: F.coalesce(F.sum(F.when(F.col(side), F.length("letters"))), F.lit(0))
     trains, evals = classes.agg(letters_of("trains"), letters_of("evals")).first()
     shards = max(1, -(-evals // shard_letters))
-    chunks = max(-(-cores(spark) // shards), -(-trains // chunk_letters))
-    chunk = F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    # As many chunks as keep all cores busy, unless texts are few; more where they are many.
+    chunks = max(-(-trains // chunk_letters), min(-(-2 * cores(spark) // shards), -(-trains // least_chunk)), 1)
+    cells = int(chunks * shards)
+    cell = F.element_at(F.array(*map(F.lit, spread_ids(spark, cells))), F.expr(f"chunk * {shards} + shard + 1"))
+    part = lambda n: F.pmod(F.xxhash64("key"), F.lit(int(n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     # The sides are of one table; the cogroup needs columns of its own on either, or it prunes them as the same.
-    train = classes.where("trains").select("key", "letters", chunk.alias("chunk"), every(shards).alias("shard"))
-    held = classes.where("evals").select(F.col("key").alias("eval_key"), F.col("letters").alias("eval_letters"), every(chunks).alias("chunk"), shard.alias("shard"))
+    train = classes.where("trains").select("key", "letters", part(chunks).alias("chunk"), every(shards).alias("shard"))
+    held = classes.where("evals").select(F.col("key").alias("eval_key"), F.col("letters").alias("eval_letters"), every(chunks).alias("chunk"), part(shards).alias("shard"))
+    train = train.select("key", "letters", cell.alias("cell")).repartition(cells, "cell")
+    held = held.select("eval_key", "eval_letters", cell.alias("cell")).repartition(cells, "cell")
     return (
-        train.groupBy("chunk", "shard")
-        .cogroup(held.groupBy("chunk", "shard"))
+        train.groupBy("cell").cogroup(held.groupBy("cell"))
         .applyInArrow(scan_group(share), "train_key bigint, eval_key bigint, edits bigint, coverage double")
         .where("train_key <> eval_key")
-    )
+    )
+
+
+def spread_ids(spark: SparkSession, n: int) -> list[int]:
+    """Numbers of n groups, one for each of n hash partitions, so that no two groups share a task."""
+    found: dict[int, int] = {}
+    start = 0
+    while len(found) < n:
+        more = spark.range(start, start + 20 * n + 100).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+        for r in more.collect():
+            found.setdefault(r["p"], r["id"])
+        start += 20 * n + 100
+    return [found[p] for p in range(n)]
 
 
 def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int = 25) -> DataFrame:
