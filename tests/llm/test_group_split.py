@@ -28,12 +28,16 @@ def union_find(pairs):
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(200), 1000 + rng.randrange(150)) for _ in range(220)] + [(300 + k, 2000 + k) for k in range(60)] + [(301 + k, 2000 + k) for k in range(60)] + [(500 + k, 3000) for k in range(80)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(pairs + pairs[:5] + [(None, 1), (1, None)], "node bigint, key bigint")).collect()}
+    edges = spark.createDataFrame(pairs + pairs[:5] + [(None, 1), (1, None)], "node bigint, key bigint")
     find = union_find([(("n", a), ("k", b)) for a, b in pairs])
     sets = {}
     for a, _ in pairs:
         sets.setdefault(find(("n", a)), set()).add(a)
-    assert got == {a: min(s) for s in sets.values() for a in s if len(s) > 1}
+    for small in (100_000, 0):
+        got = {r.node: r.component for r in components(edges, small).collect()}
+        assert set(got) == {a for s in sets.values() for a in s if len(s) > 1}
+        # One component for each set, named by one of its nodes.
+        assert all(len({got[a] for a in s}) == 1 and got[min(s)] in s for s in sets.values() if len(s) > 1)
     assert components(spark.createDataFrame([], "node bigint, key bigint")).count() == 0
 
 

@@ -3,12 +3,16 @@
 Recordings and the keys they share form adjacency lists, hash-partitioned by either end.  Frontier
 breadth-first search runs from many seeds at once: every recording with the smallest hash around it is a
 seed, and labels spread until all are reached.  Where labels of different seeds collide, the labels become
-the nodes of a smaller graph, which is solved the same way; every round at least halves the nodes that still have
-neighbours.  Components get their split by the order of their hash.
+the nodes of a smaller graph; every round at least halves the nodes that still have neighbours.  A graph that is
+small by its count of edges is merged in one task, a larger one is solved the same way again.  Components get their split by the order of their hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -39,22 +43,27 @@ def ties(utterances: DataFrame, recordings: DataFrame) -> DataFrame:
     return speakers.unionByName(digests.where("key is not null")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of a bipartite graph: node, key bigint -> node, component (the smallest hash in it).
+def components(edges: DataFrame, small: int = 100_000) -> DataFrame:
+    """Connected components of a bipartite graph: node, key bigint -> node, component (a node of it).
 
     Nodes whose keys nobody shares are left out: they are components of their own.  Null ends are no edges.
+    A graph of colliding labels with at most small edges is merged in one task.
     """
     graph, chain = edges.where("node is not null and key is not null"), None
     while True:
         # A key of one node ties nothing.
         shared = graph.groupBy("key").agg((F.min("node") != F.max("node")).alias("ties")).where("ties").select("key")
         graph = written(graph.join(shared, "key").select("node", "key").distinct())
-        if graph.isEmpty():
+        edges_left = graph.count()
+        if not edges_left:
             break
-        labels = written(spread_labels(graph))
+        last = chain is not None and edges_left <= small
+        labels = written(merge_labels(graph) if last else spread_labels(graph))
         chain = labels if chain is None else written(
             chain.withColumnRenamed("label", "via").join(labels.withColumnRenamed("node", "via"), "via", "left").select("node", F.coalesce("label", "via").alias("label"))
         )
+        if last:
+            break
         # Colliding labels are the nodes of the next, smaller graph.
         graph = graph.join(labels, "node").select(F.col("label").alias("node"), "key").distinct()
     if chain is None:
@@ -62,6 +71,32 @@ def components(edges: DataFrame) -> DataFrame:
     return chain.select("node", F.col("label").alias("component"))
 
 
+def merge_labels(graph: DataFrame) -> DataFrame:
+    """Label every node of a graph of bounded size with the smallest node of its component, in one task: node, label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("node", pa.int64()), ("key", pa.int64())]))
+        nodes, node = np.unique(table["node"].to_numpy(), return_inverse=True)
+        order = np.argsort(table["key"].to_numpy(), kind="stable")
+        key, node = table["key"].to_numpy()[order], node[order]
+        # Nodes of one key follow each other: linking neighbours links them all.
+        link = np.flatnonzero(key[1:] == key[:-1])
+        label = np.arange(len(nodes))
+        while True:
+            a, b = label[node[link]], label[node[link + 1]]
+            least = np.minimum(a, b)
+            before = label.copy()
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            while (label[label] != label).any():
+                label = label[label]
+            if (label == before).all():
+                break
+        yield pa.RecordBatch.from_pydict({"node": nodes, "label": nodes[label]})
+
+    return graph.select("node", "key").coalesce(1).mapInArrow(run, "node bigint, label bigint")
+
+
 def spread_labels(graph: DataFrame) -> DataFrame:
     """Label every node with a seed of its component, by breadth-first search from all seeds at once: node, label."""
     least = graph.groupBy("key").agg(F.min("node").alias("least"))
