@@ -117,7 +117,8 @@ def spread_labels(graph: DataFrame) -> DataFrame:
 def groups(utterances: DataFrame, recordings: DataFrame) -> DataFrame:
     """Every recording of either table with its group: source_id, component bigint (the smallest hash in it)."""
     node = F.xxhash64("source_id")
-    tied = written(components(ties(utterances, recordings).select(node.alias("node"), F.xxhash64("key").alias("key"))))
+    edges = written(ties(utterances, recordings).select(node.alias("node"), F.xxhash64("key").alias("key")))
+    tied = written(components(edges))
     every = utterances.select("source_id").unionByName(recordings.select("source_id")).where("source_id is not null").distinct()
     return every.withColumn("node", node).join(tied, "node", "left").select("source_id", F.coalesce("component", "node").alias("component"))
 
