@@ -1,5 +1,7 @@
 """List pages: planted kinds, near misses and hosts of phrases."""
 
+import random
+
 import pytest
 
 from utterlake.llm.page_quality import list_pages
@@ -54,3 +56,25 @@ def test_edges(spark):
     got = {r.doc_id: r.list_share for r in list_pages(spark.createDataFrame(rows, schema)).collect()}
     assert set(got) == {4, 5} and all(0.5 < v <= 1 for v in got.values())
     assert list_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+def keyword_page(seed, words=90):
+    """Keywords of a small vocabulary and names of their own, with blanks only."""
+    pick = random.Random(seed)
+    kinds, goods = "price cheap buy sale review online discount wholesale offer top".split(), "kettle carpet blanket recorder speaker amplifier microphone earplug cassette saffron".split()
+    name = lambda: "".join(pick.choice("bdfgklmnprstvz") + pick.choice("aeiou") for _ in range(4))
+    return " ".join(f"{pick.choice(kinds)} {pick.choice(goods)} {name()}" for _ in range(words // 3))
+
+
+def han_page(seed, sentences=60):
+    """Chinese sentences of few words."""
+    pick = random.Random(seed)
+    things, deeds, kinds = "布鞋 照片 板凳 枕头 集市 果园 铁匠 茶馆 灯笼 日历 核桃 小桥".split(), "打扫 收拾 记得 画过 找到 寄出 唱起 借来".split(), "熟悉 旧 远处 红色 温暖 白色".split()
+    return "".join(f"{pick.choice(things)}{pick.choice(deeds)}{pick.choice(kinds)}的{pick.choice(things)}和{pick.choice(things)}。" for _ in range(sentences))
+
+
+def test_keywords_without_separators(spark):
+    # Keywords come back far apart, between words that stand only once.
+    rows = [(k, keyword_page(k), "s") for k in range(5)] + [(10, "\n".join(PAGES.values()), "s"), (11, han_page(3), "s")]
+    got = list_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert {r.doc_id for r in got} == set(range(5))

@@ -1,7 +1,7 @@
 """Keyword-stuffed pages, link lists and tag lists.
 
 Pages are cut into phrases at line ends, separators and sentence ends.  Runs of short phrases without function
-words, links, and stretches whose words keep coming back are list-dense.  Phrases that stand outside such
+words, links, and stretches whose words keep coming back, near by or on the whole page, are list-dense.  Phrases that stand outside such
 runs are exploded with their page's host, the distinct hosts of each phrase are counted over the whole
 corpus, and phrases replicated on enough hosts count as list material too.  A page is flagged when more than
 half of its characters are list material.
@@ -26,6 +26,8 @@ FUNCTION_WORDS = """
 را در از به با تا برای بدون روی زیر پشت کنار که و ولی اما اگر چون وقتی
 the a an of to in on at by for with from and or but because while if under over after before beside behind near inside across without
 """.split()
+# The same of Han characters.
+HAN_FUNCTION = "的了和在是与就都而及着把被从对向给"
 # Characters between phrases; the second group does so at line ends or before a blank only.
 SEPARATORS = "\n\r\t#|»«>›→•·*/;؛،,、"
 ENDS = ".!?؟。！？…"
@@ -84,6 +86,26 @@ def function_hashes() -> np.ndarray:
     return np.sort(words_of(points, np.repeat(np.arange(len(FUNCTION_WORDS)), np.diff(offsets)))[1])
 
 
+@lru_cache(maxsize=1)
+def han_function_hashes() -> np.ndarray:
+    points, offsets = code_points(pa.array([HAN_FUNCTION]))
+    return np.sort(words_of(points, np.zeros(len(points), np.int64))[1])
+
+
+def among(value: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
+
+
+def on_page(same: np.ndarray, heads: np.ndarray, word_row: np.ndarray, rarest: int) -> np.ndarray:
+    """Words that stand at least twice on their whole page, and are at least one in rarest of its words."""
+    if not len(same):
+        return np.zeros(0, bool)
+    key = (same ^ (word_row.astype(np.uint64) * np.uint64(ODD))) * np.uint64(0xD6E8FEB86659FD93)
+    _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+    return times[number] >= np.maximum(2, np.diff(heads)[word_row] / rarest)
+
+
 def spread(start: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     """Values held from each start to the next."""
     out = np.zeros(size, value.dtype)
@@ -92,7 +114,7 @@ def spread(start: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most_han: int, least_run: int, lags: int, window: int, dense: float, most_plain: float) -> tuple[np.ndarray, ...]:
+def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most_han: int, least_run: int, lags: int, window: int, dense: float, most_plain: float, rarest: int) -> tuple[np.ndarray, ...]:
     """Per row the characters that are list material; and open short phrases: row, hash, characters."""
     n, size = len(offsets) - 1, len(points)
     row = np.repeat(np.arange(n), np.diff(offsets))
@@ -136,9 +158,8 @@ def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most
     of = phrase[word]
     count = np.bincount(of, minlength=phrases)
     hans = np.bincount(of, weights=han, minlength=phrases)
-    common = function_hashes()
-    spot = np.minimum(np.searchsorted(common, value), len(common) - 1)
-    plain_word = (common[spot] == value) & ~han
+    plain_word = among(value, function_hashes()) & ~han
+    glue = plain_word | (among(value, han_function_hashes()) & han)
     plain = np.bincount(of[plain_word], minlength=phrases)
     short = (count > 0) & (count - hans <= most_words) & (hans <= most_han) & (plain == 0) & ~is_link
     # Runs of short phrases and links; phrases without letters follow what is before them.
@@ -180,7 +201,14 @@ def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most
     high = np.minimum(index + window // 2 + 1, heads[word_row + 1])
     share = (sums[high] - sums[low]) / np.maximum(high - low, 1)
     told = (plains[high] - plains[low]) / np.maximum(high - low, 1)
-    stuffed = (share >= dense) & (told <= most_plain) & (high - low >= window // 2)
+    wide = high - low >= window // 2
+    stuffed = (share >= dense) & (told <= most_plain) & wide
+    # The same by what recurs on the whole page, where Han function characters are few too.
+    sums = np.concatenate([[0], np.cumsum((again | on_page(same, heads, word_row, rarest)) & ~glue)])
+    glues = np.concatenate([[0], np.cumsum(glue)])
+    share = (sums[high] - sums[low]) / np.maximum(high - low, 1)
+    terse = ((glues[high] - glues[low]) / np.maximum(high - low, 1) <= most_plain) & wide
+    stuffed |= (share >= dense) & terse
     ends = np.append(word[1:], size)
     ends = np.minimum(ends, offsets[1:][word_row])
     edges = np.bincount(word[stuffed], minlength=size + 1) - np.bincount(ends[stuffed], minlength=size + 1)
@@ -215,14 +243,14 @@ def material_batches(*parameters: float):
 
 
 def list_pages(
-    documents: DataFrame, share: float = 0.5, least_hosts: int = 3, most_words: int = 5, most_han: int = 10, least_run: int = 4, lags: int = 16, window: int = 20, dense: float = 0.5, most_plain: float = 0.08
+    documents: DataFrame, share: float = 0.5, least_hosts: int = 3, most_words: int = 5, most_han: int = 10, least_run: int = 4, lags: int = 16, window: int = 20, dense: float = 0.5, most_plain: float = 0.08, rarest: int = 200
 ) -> DataFrame:
     """Pages more than share of whose characters are repeated keywords, lists of links or titles, or tags and codes.
 
     documents: doc_id, text, source; other columns are left out.  Result: doc_id, list_share, distinct.
     A phrase is short with at most most_words words (most_han Han characters) and no function word.
     Listed are: links; runs of least_run short phrases or links; stretches of window words of which the
-    share dense came among the lags words before and at most the share most_plain are function words; and other short phrases that stand on at least
+    share dense came among the lags words before, or recurs on the page and is one in rarest of its words, and at most the share most_plain are function words; and other short phrases that stand on at least
     least_hosts different sources anywhere in the corpus (a null source is no host).  Phrases are counted
     by host before they are counted at all, so that a phrase of a third of all pages is no large group.
     Null and blank texts give no row; texts may be of any length; repeated rows of a doc_id are
@@ -230,7 +258,7 @@ def list_pages(
     """
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("source").alias("host"))
     found = pages.mapInArrow(
-        material_batches(most_words, most_han, least_run, lags, window, dense, most_plain), "doc_id bigint, host string, chars bigint, listed bigint, phrase array<bigint>, phrase_chars array<bigint>"
+        material_batches(most_words, most_han, least_run, lags, window, dense, most_plain, rarest), "doc_id bigint, host string, chars bigint, listed bigint, phrase array<bigint>, phrase_chars array<bigint>"
     )
     found = written(found.where("chars > 0"))
     # Only pages that the open phrases could carry over the threshold need their phrases' hosts; hosts count on all pages.
