@@ -78,3 +78,21 @@ def test_keywords_without_separators(spark):
     rows = [(k, keyword_page(k), "s") for k in range(5)] + [(10, "\n".join(PAGES.values()), "s"), (11, han_page(3), "s")]
     got = list_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert {r.doc_id for r in got} == set(range(5))
+
+
+def test_shingles_of_hosts_carry_a_page(spark):
+    # No word comes back on its page and there is no separator: only other hosts tell that the pairs are key phrases.
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("bdfgklmnprstvz") + pick.choice("aeiou") for _ in range(5))
+    pairs = [f"{word()} {word()}" for _ in range(30)]
+    mixed = lambda: " ".join(f"{p} {word()}" for p in pick.sample(pairs, len(pairs)))
+    schema = "doc_id bigint, text string, source string"
+    rows = [(k, mixed(), h) for k, h in enumerate(["a", "b", None, "a"])]
+    prose = [(10 + k, PAGES["prose"], h) for k, h in enumerate("abcd")]
+    assert list_pages(spark.createDataFrame(rows + prose, schema)).count() == 0
+    got = list_pages(spark.createDataFrame(rows + prose + [(4, mixed(), "c")], schema)).collect()
+    assert {r.doc_id for r in got} == set(range(5)) and all(0.5 < r.list_share < 0.9 for r in got)
+    # Hosts count in sentences too, and one stretch of two overlapping units counts once.
+    told = [(20 + k, f"The {p} stood on a hill and in the valley.", h) for p in pairs for k, h in enumerate("bc")]
+    got = list_pages(spark.createDataFrame([rows[0], *told], schema)).collect()
+    assert {r.doc_id for r in got} == {0}

@@ -1,10 +1,10 @@
 """Keyword-stuffed pages, link lists and tag lists.
 
 Pages are cut into phrases at line ends, separators and sentence ends.  Runs of short phrases without function
-words, links, and stretches whose words keep coming back, near by or on the whole page, are list-dense.  Phrases that stand outside such
-runs are exploded with their page's host, the distinct hosts of each phrase are counted over the whole
-corpus, and phrases replicated on enough hosts count as list material too.  A page is flagged when more than
-half of its characters are list material.
+words, links, and stretches whose words keep coming back, near by or on the whole page, are list-dense.
+Short phrases and overlapping word shingles of all text are exploded with their page's host, their distinct hosts
+are counted over the whole corpus, and what stands on enough hosts counts as list material too where function
+words are few.  A page is flagged when more than half of its characters are list material.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ the a an of to in on at by for with from and or but because while if under over
 """.split()
 # The same of Han characters.
 HAN_FUNCTION = "的了和在是与就都而及着把被从对向给"
+# Han characters of a shingle; words of other scripts make shingles of two.  Words of the filter of units.
+HAN_SHINGLE, FILTER_WORDS = 4, 1 << 18
 # Characters between phrases; the second group does so at line ends or before a blank only.
 SEPARATORS = "\n\r\t#|»«>›→•·*/;؛،,、"
 ENDS = ".!?؟。！？…"
@@ -106,6 +108,26 @@ def on_page(same: np.ndarray, heads: np.ndarray, word_row: np.ndarray, rarest: i
     return times[number] >= np.maximum(2, np.diff(heads)[word_row] / rarest)
 
 
+def shingles(value: np.ndarray, han: np.ndarray, word: np.ndarray, word_row: np.ndarray, glue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word and hash of overlapping shingles without function words: two words, or HAN_SHINGLE Han characters."""
+    first, last, digest = [], [], []
+    for size, kind in ((2, ~han), (HAN_SHINGLE, han)):
+        n = max(0, len(value) - size + 1)
+        ok = np.ones(n, bool)
+        total = np.full(n, size, np.uint64)
+        for k in range(size):
+            ok &= kind[k : k + n] & ~glue[k : k + n] & (word_row[k : k + n] == word_row[:n])
+            if size == HAN_SHINGLE:
+                ok &= word[k : k + n] == word[:n] + k
+            total = (total ^ value[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+            total ^= total >> np.uint64(32)
+        at = np.flatnonzero(ok)
+        first.append(at)
+        last.append(at + size - 1)
+        digest.append(total[at])
+    return np.concatenate(first), np.concatenate(last), np.concatenate(digest)
+
+
 def spread(start: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     """Values held from each start to the next."""
     out = np.zeros(size, value.dtype)
@@ -115,7 +137,10 @@ def spread(start: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
 
 
 def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most_han: int, least_run: int, lags: int, window: int, dense: float, most_plain: float, rarest: int) -> tuple[np.ndarray, ...]:
-    """Per row the characters that are list material; and open short phrases: row, hash, characters."""
+    """Per row the characters that are list material, and those that hosts may make such (open).
+
+    Then all units, short phrases and shingles: row, hash, and first and last place among the open characters.
+    """
     n, size = len(offsets) - 1, len(points)
     row = np.repeat(np.arange(n), np.diff(offsets))
     flags, _ = classes()
@@ -214,68 +239,120 @@ def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most
     edges = np.bincount(word[stuffed], minlength=size + 1) - np.bincount(ends[stuffed], minlength=size + 1)
     listed |= np.cumsum(edges[:size]) > 0
     got = np.bincount(row, weights=listed, minlength=n).astype(np.int64)
-    # Short phrases that are not yet list material: their hash is over their words in order.
-    loose = np.flatnonzero(short & ~listed[phrase_at]) if size else np.zeros(0, np.int64)
+    # Hosts may make list material of short phrases, and of shingles in terse stretches.
+    # Short prose may have few function words by chance: hosts need whole windows.
+    terse &= high - low >= window
+    edges = np.bincount(word[terse], minlength=size + 1) - np.bincount(ends[terse], minlength=size + 1)
+    spare = np.cumsum(edges[:size]) > 0
+    loose = (spare | short[phrase]) & ~listed if size else np.zeros(0, bool)
+    opened = np.concatenate([[0], np.cumsum(loose)])
+    # The hash of a short phrase is over its words in order.
+    brief = np.flatnonzero(short)
     start = np.searchsorted(of, np.arange(phrases))
     place = (np.arange(len(word)) - start[of]).astype(np.uint64)
     mixed = (value + place * np.uint64(ODD)) * np.uint64(0xD6E8FEB86659FD93)
     totals = np.concatenate([[np.uint64(0)], np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
     stop = np.searchsorted(of, np.arange(phrases), side="right")
-    digest = (totals[stop] - totals[start])[loose].view(np.int64)
-    return got, phrase_row[loose], digest, chars[loose]
+    first, last, digest = shingles(value, han, word, word_row, glue)
+    unit = np.concatenate([(totals[stop] - totals[start])[brief], digest]).view(np.int64)
+    unit_row = np.concatenate([phrase_row[brief], word_row[first]])
+    at = opened[np.concatenate([phrase_at[brief], word[first]])]
+    to = opened[np.concatenate([(phrase_at + chars)[brief], np.where(spare[word[first]] & spare[word[last]], ends[last], word[first])])]
+    order = np.argsort(unit_row, kind="stable")
+    return got, opened[offsets[1:]] - opened[offsets[:-1]], unit_row[order], unit[order], at[order], to[order]
 
 
-def material_batches(*parameters: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("chars", pa.int64()), ("listed", pa.int64()), ("phrase", pa.list_(pa.int64())), ("phrase_chars", pa.list_(pa.int64()))])
+def material_batches(share: float, *parameters: float):
+    """Per page its characters and list material; and the units of pages that these alone could carry over the share."""
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int64()), ("chars", pa.int64()), ("listed", pa.int64()), ("unit", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in row_slices(batch["text"]):
                 part = batch[a:b]
                 points, offsets = code_points(part["text"])
-                n = part.num_rows
-                got, row, digest, chars = list_material(points, offsets, *parameters)
+                n, chars = part.num_rows, np.diff(offsets)
+                got, opened, row, unit, first, last = list_material(points, offsets, *parameters)
+                near = (got <= share * chars) & (got + opened > share * chars)
+                keep = near[row] & (last > first)
+                row = row[keep]
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (digest, chars)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["host"], pa.array(np.diff(offsets)), pa.array(got), *lists], schema=schema)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[keep])) for x in (unit, first, last)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["page"], pa.array(chars), pa.array(got), *lists], schema=schema)
 
     return run
 
 
+def unit_batches(bits: np.ndarray, *parameters: float):
+    """Units of all pages that the filter lets through, with the page's host."""
+    schema = pa.schema([("unit", pa.int64()), ("host", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in row_slices(batch["text"]):
+                part = batch[a:b]
+                _, _, row, unit, _, _ = list_material(*code_points(part["text"]), *parameters)
+                word = bits[(unit.view(np.uint64) >> np.uint64(6)).astype(np.int64) & (FILTER_WORDS - 1)]
+                keep = (word >> (unit & 63).astype(np.uint64)) & np.uint64(1) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(unit[keep]), part["host"].take(pa.array(row[keep]))], schema=schema)
+
+    return run
+
+
+def unit_filter(units: DataFrame) -> np.ndarray | None:
+    """A bit for the low bits of every unit's hash, of a fixed size; None without units."""
+    word = units.groupBy(F.shiftrightunsigned("unit", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int").alias("word"))
+    got = word.agg(F.expr("bit_or(shiftleft(1L, cast(unit & 63 as int)))").alias("bits")).toArrow()  # at most FILTER_WORDS rows
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return bits if got.num_rows else None
+
+
 def list_pages(
-    documents: DataFrame, share: float = 0.5, least_hosts: int = 3, most_words: int = 5, most_han: int = 10, least_run: int = 4, lags: int = 16, window: int = 20, dense: float = 0.5, most_plain: float = 0.08, rarest: int = 200
+    documents: DataFrame, share: float = 0.5, least_hosts: int = 3, most_words: int = 5, most_han: int = 10, least_run: int = 4, lags: int = 16, window: int = 20, dense: float = 0.5, most_plain: float = 0.08,
+    rarest: int = 200,
 ) -> DataFrame:
     """Pages more than share of whose characters are repeated keywords, lists of links or titles, or tags and codes.
 
     documents: doc_id, text, source; other columns are left out.  Result: doc_id, list_share, distinct.
     A phrase is short with at most most_words words (most_han Han characters) and no function word.
-    Listed are: links; runs of least_run short phrases or links; stretches of window words of which the
-    share dense came among the lags words before, or recurs on the page and is one in rarest of its words, and at most the share most_plain are function words; and other short phrases that stand on at least
-    least_hosts different sources anywhere in the corpus (a null source is no host).  Phrases are counted
+    Listed are: links; runs of least_run short phrases or links; stretches of window words at most the share
+    most_plain of which are function words and the share dense of which came among the lags words before or
+    recurs on the page and is one in rarest of its words; and short phrases, and in such terse stretches
+    shingles of two words (four Han characters) without function words, that
+    stand on at least least_hosts different sources anywhere in the corpus (a null source is no host).  They are counted
     by host before they are counted at all, so that a phrase of a third of all pages is no large group.
     Null and blank texts give no row; texts may be of any length; repeated rows of a doc_id are
     one row, with the greatest share.
     """
-    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("source").alias("host"))
-    found = pages.mapInArrow(
-        material_batches(most_words, most_han, least_run, lags, window, dense, most_plain, rarest), "doc_id bigint, host string, chars bigint, listed bigint, phrase array<bigint>, phrase_chars array<bigint>"
+    parameters = (most_words, most_han, least_run, lags, window, dense, most_plain, rarest)
+    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("page"), F.col("source").alias("host"))
+    found = pages.select("doc_id", "text", "page").mapInArrow(
+        material_batches(share, *parameters), "doc_id bigint, page bigint, chars bigint, listed bigint, unit array<bigint>, first array<bigint>, last array<bigint>"
     )
     found = written(found.where("chars > 0"))
-    # Only pages that the open phrases could carry over the threshold need their phrases' hosts; hosts count on all pages.
-    loose = found.select("doc_id", "host", F.explode(F.arrays_zip("phrase", "phrase_chars")).alias("p")).select("doc_id", "host", "p.phrase", "p.phrase_chars")
-    spread_out = (
-        loose.where("host is not null").groupBy("phrase", "host").agg(F.lit(1).alias("one"))
-        .groupBy("phrase").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= least_hosts).select("phrase")
-    )
-    all_open = F.aggregate("phrase_chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    near = found.where((F.col("listed") <= share * F.col("chars")) & (F.col("listed") + all_open > share * F.col("chars")))
-    extra = (
-        near.select("doc_id", F.explode(F.arrays_zip("phrase", "phrase_chars")).alias("p")).groupBy("doc_id", "p.phrase").agg(F.sum("p.phrase_chars").alias("c"))
-        .join(spread_out, "phrase").groupBy("doc_id").agg(F.sum("c").alias("extra"))
-    )
-    done = found.where(F.col("listed") > share * F.col("chars")).select("doc_id", "chars", "listed")
-    carried = near.select("doc_id", "chars", "listed").join(extra, "doc_id").select("doc_id", "chars", (F.col("listed") + F.col("extra")).alias("listed"))
+    listed = found.where(F.col("listed") > share * F.col("chars")).select("doc_id", "chars", "listed")
+    # Only pages that open units could carry over the threshold need their units' hosts; hosts count on all pages.
+    near = found.where(F.size("unit") > 0).select("doc_id", "page", "chars", "listed", F.explode(F.arrays_zip("unit", "first", "last")).alias("u"))
+    near = near.select("doc_id", "page", "chars", "listed", "u.unit", "u.first", "u.last")
+    bits = unit_filter(near)
+    if bits is not None:
+        spread_out = (
+            pages.where("host is not null").select("text", "host").mapInArrow(unit_batches(bits, *parameters), "unit bigint, host string")
+            .groupBy("unit", "host").agg(F.lit(1).alias("one"))
+            .groupBy("unit").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= least_hosts).select("unit")
+        )
+        # Stretches of one page may overlap: each character counts once.
+        start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("total"))
+        step = lambda a, x: F.struct(
+            F.greatest(a["end"], x["last"]).alias("end"), (a["total"] + F.greatest(F.lit(0), x["last"] - F.greatest(a["end"], x["first"]))).alias("total")
+        )
+        carried = (
+            near.join(spread_out, "unit").groupBy("doc_id", "page", "chars", "listed").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("parts"))
+            .select("doc_id", "chars", (F.col("listed") + F.aggregate("parts", start, step)["total"]).alias("listed"))
+        )
+        listed = listed.unionByName(carried)
     return (
-        done.unionByName(carried).select("doc_id", F.least(F.col("listed") / F.col("chars"), F.lit(1.0)).alias("list_share"))
+        listed.select("doc_id", F.least(F.col("listed") / F.col("chars"), F.lit(1.0)).alias("list_share"))
         .where(F.col("list_share") > share).groupBy("doc_id").agg(F.max("list_share").alias("list_share"))
     )
