@@ -71,3 +71,10 @@ def test_empty(spark):
     rows = [("a", "x" * 3000, "train"), ("b", "x" * 2900, "test"), ("c", long, "train"), ("d", mutate(rng, long, 900), "dev"), ("e", long[::-1], "dev")]
     df = spark.createDataFrame([(*r, None, None, None, 1) for r in rows], SCHEMA)
     assert {(r.train_id, r.eval_id) for r in split_overlap(df).collect()} == {("a", "b"), ("c", "d")}
+
+
+def test_letters_of_ligatures(spark):
+    # 24 code points with 25 letters and more, as lam-alef, Latin and Arabic word ligatures stand for several.
+    rows = [("a", "بپتجچحخدرزسشصطعغفقکگمنوﻻ", "train"), ("b", "بپتجچحخدرزسشصطعغفقکگمنولا", "test"), ("c", "ﬁ" * 13, "train"), ("d", "fi" * 13, "dev"), ("e", "abcdefghijklmnopqrstuvwx", "train"), ("f", "abcdefghijklmnopqrstuvwx", "test")]
+    df = spark.createDataFrame([(*r, None, None, None, 1) for r in rows], SCHEMA)
+    assert {(r.train_id, r.eval_id) for r in split_overlap(df).collect()} == {("a", "b"), ("c", "d")}

@@ -291,7 +291,7 @@ def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int
         "id", "text", F.lower(F.trim("pcm_sha256")).alias("sha"), F.when(side == "train", True).when(side.isin("validation", "test"), False).alias("train")
     ).where("train is not null")
     texts = (
-        rows.where(F.length("text") >= least_letters)
+        rows.where("text is not null")
         .select("id", "train", letters("text").alias("letters"))
         .where(F.length("letters") >= least_letters)
         .withColumn("key", F.xxhash64("letters"))
