@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import not_blank
 from .group_split import assign_splits, torn_groups
-from .leakage import leaked
+from .leakage import leaked, paraphrased
 from .mixing import mix, mix_shares
 from .overlap import overlap_counts, split_overlap
 from .packing import containers
@@ -36,6 +36,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p2_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    found = paraphrased(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.withColumns({c: F.round(c, 4) for c in ("words", "answer")})
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = split_overlap(table(spark, folder, "utterances"))
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
@@ -78,7 +83,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_counts, p4_found, p5_found, p5_splits, p6_containers, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_paraphrases, p3_found, p3_counts, p4_found, p5_found, p5_splits, p6_containers, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
