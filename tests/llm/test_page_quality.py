@@ -96,3 +96,22 @@ def test_shingles_of_hosts_carry_a_page(spark):
     told = [(20 + k, f"The {p} stood on a hill and in the valley.", h) for p in pairs for k, h in enumerate("bc")]
     got = list_pages(spark.createDataFrame([rows[0], *told], schema)).collect()
     assert {r.doc_id for r in got} == {0}
+
+
+def test_hosts_prove_a_list(spark):
+    # Titles that stand once on their page: on one page among several hosts nothing proves them, on two hosts they do.
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choice("bdfgklmnprstvz") + pick.choice("aeiou") for _ in range(5))
+    titles = [f"{word()} {word()} {word()}" for _ in range(24)]
+    schema = "doc_id bigint, text string, source string"
+    prose = [(10, PAGES["prose"], "a"), (11, PAGES["goods"], "b")]
+    one = (1, "\n".join(titles), "a")
+    assert list_pages(spark.createDataFrame([one, *prose], schema)).count() == 0
+    # A copy of the page on its own host is no other host; the titles in another order on another host are.
+    assert list_pages(spark.createDataFrame([one, (2, one[1], "a"), (3, one[1], None), *prose], schema)).count() == 0
+    got = list_pages(spark.createDataFrame([one, (2, "\n".join(titles[::-1]), "b"), *prose], schema)).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+    # Sentences copied from other hosts are replicated, but no list.
+    told = [f"The {word()} of the {word()} stood on a {word()} in the {word()} and the {word()} went to a {word()}." for _ in range(30)]
+    rows = [(20 + k, " ".join(pick.sample(told, 20)), h) for k, h in enumerate("abcd")]
+    assert list_pages(spark.createDataFrame(rows, schema)).count() == 0

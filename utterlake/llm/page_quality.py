@@ -2,9 +2,10 @@
 
 Pages are cut into phrases at line ends, separators and sentence ends.  Runs of short phrases without function
 words, links, and stretches whose words keep coming back, near by or on the whole page, are list-dense.
-Short phrases and overlapping word shingles of all text are exploded with their page's host, their distinct hosts
-are counted over the whole corpus, and what stands on enough hosts counts as list material too where function
-words are few.  A page is flagged when more than half of its characters are list material.
+Short phrases and overlapping word shingles of all text are exploded with their page's host, and their distinct hosts
+are counted over the whole corpus.  What stands on enough hosts counts as list material too where function words are few,
+and of every page that is list-dense a share must be proven: phrases that stand on another host, or again on the page, or links.
+A page is flagged when more than half of its characters are list material and enough of it is proven.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
@@ -99,26 +100,25 @@ def among(value: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
 
 
-def on_page(same: np.ndarray, heads: np.ndarray, word_row: np.ndarray, rarest: int) -> np.ndarray:
-    """Words that stand at least twice on their whole page, and are at least one in rarest of its words."""
+def on_page(same: np.ndarray, heads: np.ndarray, word_row: np.ndarray, rarest: int | None) -> np.ndarray:
+    """Words that stand at least twice on their whole page, and are at least one in rarest of its words (if given)."""
     if not len(same):
         return np.zeros(0, bool)
     key = (same ^ (word_row.astype(np.uint64) * np.uint64(ODD))) * np.uint64(0xD6E8FEB86659FD93)
     _, number, times = np.unique(key, return_inverse=True, return_counts=True)
-    return times[number] >= np.maximum(2, np.diff(heads)[word_row] / rarest)
+    return times[number] >= (2 if rarest is None else np.maximum(2, np.diff(heads)[word_row] / rarest))
 
 
 def shingles(value: np.ndarray, han: np.ndarray, word: np.ndarray, word_row: np.ndarray, glue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word and hash of overlapping shingles without function words: two words, or HAN_SHINGLE Han characters."""
+    """First and last word and hash of overlapping shingles: two words without function words, or HAN_SHINGLE Han characters."""
     first, last, digest = [], [], []
     for size, kind in ((2, ~han), (HAN_SHINGLE, han)):
         n = max(0, len(value) - size + 1)
         ok = np.ones(n, bool)
         total = np.full(n, size, np.uint64)
         for k in range(size):
-            ok &= kind[k : k + n] & ~glue[k : k + n] & (word_row[k : k + n] == word_row[:n])
-            if size == HAN_SHINGLE:
-                ok &= word[k : k + n] == word[:n] + k
+            ok &= kind[k : k + n] & (word_row[k : k + n] == word_row[:n])
+            ok &= word[k : k + n] == word[:n] + k if size == HAN_SHINGLE else ~glue[k : k + n]
             total = (total ^ value[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
             total ^= total >> np.uint64(32)
         at = np.flatnonzero(ok)
@@ -137,9 +137,10 @@ def spread(start: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
 
 
 def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most_han: int, least_run: int, lags: int, window: int, dense: float, most_plain: float, rarest: int) -> tuple[np.ndarray, ...]:
-    """Per row the characters that are list material, and those that hosts may make such (open).
+    """Per row the characters that are list material; those that hosts may make such (open); and of both those that
+    a link or a phrase that stands again on the page proves, and those that hosts may prove.
 
-    Then all units, short phrases and shingles: row, hash, and first and last place among the open characters.
+    Then all units, short phrases and shingles: row, hash, and first and last place among the open and among the unproven characters.
     """
     n, size = len(offsets) - 1, len(points)
     row = np.repeat(np.arange(n), np.diff(offsets))
@@ -238,14 +239,12 @@ def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most
     ends = np.minimum(ends, offsets[1:][word_row])
     edges = np.bincount(word[stuffed], minlength=size + 1) - np.bincount(ends[stuffed], minlength=size + 1)
     listed |= np.cumsum(edges[:size]) > 0
-    got = np.bincount(row, weights=listed, minlength=n).astype(np.int64)
     # Hosts may make list material of short phrases, and of shingles in terse stretches.
     # Short prose may have few function words by chance: hosts need whole windows.
     terse &= high - low >= window
     edges = np.bincount(word[terse], minlength=size + 1) - np.bincount(ends[terse], minlength=size + 1)
     spare = np.cumsum(edges[:size]) > 0
     loose = (spare | short[phrase]) & ~listed if size else np.zeros(0, bool)
-    opened = np.concatenate([[0], np.cumsum(loose)])
     # The hash of a short phrase is over its words in order.
     brief = np.flatnonzero(short)
     start = np.searchsorted(of, np.arange(phrases))
@@ -256,15 +255,30 @@ def list_material(points: np.ndarray, offsets: np.ndarray, most_words: int, most
     first, last, digest = shingles(value, han, word, word_row, glue)
     unit = np.concatenate([(totals[stop] - totals[start])[brief], digest]).view(np.int64)
     unit_row = np.concatenate([phrase_row[brief], word_row[first]])
-    at = opened[np.concatenate([phrase_at[brief], word[first]])]
-    to = opened[np.concatenate([(phrase_at + chars)[brief], np.where(spare[word[first]] & spare[word[last]], ends[last], word[first])])]
+    head = np.concatenate([phrase_at[brief], word[first]])
+    tail = np.concatenate([(phrase_at + chars)[brief], ends[last]])
+    # Proven on the page itself: links, and units that stand there again.
+    twice = on_page(unit.view(np.uint64), np.array([0, len(unit)]), unit_row, None)
+    edges = np.bincount(head[twice], minlength=size + 1) - np.bincount(tail[twice], minlength=size + 1)
+    proven = link | (np.cumsum(edges[:size]) > 0)
+    zone = listed | loose
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (listed, loose, zone & proven, zone & ~proven)]
+    opened, unproven = sums[1], sums[3]
+    # Of shingles only those in terse stretches make list material; all units prove.
+    makes = np.concatenate([np.ones(len(brief), bool), spare[word[first]] & spare[word[last]]])
+    at, to, from_, until = opened[head], np.where(makes, opened[tail], opened[head]), unproven[head], unproven[tail]
     order = np.argsort(unit_row, kind="stable")
-    return got, opened[offsets[1:]] - opened[offsets[:-1]], unit_row[order], unit[order], at[order], to[order]
+    return (*(x[offsets[1:]] - x[offsets[:-1]] for x in sums), unit_row[order], unit[order], *(x[order] for x in (at, to, from_, until)))
+
+
+PLACES = ("first", "last", "from", "until")
+MATERIAL = "doc_id bigint, page bigint, chars bigint, listed bigint, proven bigint, unproven bigint, unit array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in PLACES)
 
 
 def material_batches(share: float, *parameters: float):
-    """Per page its characters and list material; and the units of pages that these alone could carry over the share."""
-    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int64()), ("chars", pa.int64()), ("listed", pa.int64()), ("unit", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
+    """Per page its characters, list material and what of it is proven; and the units of pages that are list-dense, or could be by what hosts make such."""
+    counts = ("doc_id", "page", "chars", "listed", "proven", "unproven")
+    schema = pa.schema([(c, pa.int64()) for c in counts] + [(c, pa.list_(pa.int64())) for c in ("unit", *PLACES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,13 +286,13 @@ def material_batches(share: float, *parameters: float):
                 part = batch[a:b]
                 points, offsets = code_points(part["text"])
                 n, chars = part.num_rows, np.diff(offsets)
-                got, opened, row, unit, first, last = list_material(points, offsets, *parameters)
-                near = (got <= share * chars) & (got + opened > share * chars)
-                keep = near[row] & (last > first)
+                got, opened, proven, unproven, row, unit, *places = list_material(points, offsets, *parameters)
+                near = got + opened > share * chars
+                keep = near[row] & ((places[1] > places[0]) | (places[3] > places[2]))
                 row = row[keep]
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x[keep])) for x in (unit, first, last)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["page"], pa.array(chars), pa.array(got), *lists], schema=schema)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[keep])) for x in (unit, *places)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["page"], *map(pa.array, (chars, got, proven, unproven)), *lists], schema=schema)
 
     return run
 
@@ -291,7 +305,7 @@ def unit_batches(bits: np.ndarray, *parameters: float):
         for batch in batches:
             for a, b in row_slices(batch["text"]):
                 part = batch[a:b]
-                _, _, row, unit, _, _ = list_material(*code_points(part["text"]), *parameters)
+                _, _, _, _, row, unit, *_ = list_material(*code_points(part["text"]), *parameters)
                 word = bits[(unit.view(np.uint64) >> np.uint64(6)).astype(np.int64) & (FILTER_WORDS - 1)]
                 keep = (word >> (unit & 63).astype(np.uint64)) & np.uint64(1) > 0
                 yield pa.RecordBatch.from_arrays([pa.array(unit[keep]), part["host"].take(pa.array(row[keep]))], schema=schema)
@@ -308,9 +322,18 @@ def unit_filter(units: DataFrame) -> np.ndarray | None:
     return bits if got.num_rows else None
 
 
+def covered(parts: Column, kind: str) -> Column:
+    """Length of the union of sorted stretches (first, last): each character counts once."""
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("total"))
+    step = lambda a, x: F.struct(
+        F.greatest(a["end"], x["last"]).alias("end"), (a["total"] + F.greatest(F.lit(0), x["last"] - F.greatest(a["end"], x["first"]))).alias("total")
+    )
+    return F.aggregate(parts, start, step)["total"].alias(kind)
+
+
 def list_pages(
-    documents: DataFrame, share: float = 0.5, least_hosts: int = 3, most_words: int = 5, most_han: int = 10, least_run: int = 4, lags: int = 16, window: int = 20, dense: float = 0.5, most_plain: float = 0.08,
-    rarest: int = 200,
+    documents: DataFrame, share: float = 0.5, least_hosts: int = 3, proof: float = 0.2, most_words: int = 5, most_han: int = 10, least_run: int = 4, lags: int = 16, window: int = 20, dense: float = 0.5,
+    most_plain: float = 0.08, rarest: int = 200,
 ) -> DataFrame:
     """Pages more than share of whose characters are repeated keywords, lists of links or titles, or tags and codes.
 
@@ -319,40 +342,39 @@ def list_pages(
     Listed are: links; runs of least_run short phrases or links; stretches of window words at most the share
     most_plain of which are function words and the share dense of which came among the lags words before or
     recurs on the page and is one in rarest of its words; and short phrases, and in such terse stretches
-    shingles of two words (four Han characters) without function words, that
-    stand on at least least_hosts different sources anywhere in the corpus (a null source is no host).  They are counted
+    shingles of two words (four Han characters), that stand on at least least_hosts different sources anywhere in the corpus
+    (a null source is no host).  Of what is list-dense, listed or possibly so, the share proof must be proven: links, and short phrases and shingles
+    that stand on two sources or again on the page; in a corpus of fewer than two sources there is no other host to ask.  Units are counted
     by host before they are counted at all, so that a phrase of a third of all pages is no large group.
     Null and blank texts give no row; texts may be of any length; repeated rows of a doc_id are
     one row, with the greatest share.
     """
     parameters = (most_words, most_han, least_run, lags, window, dense, most_plain, rarest)
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("page"), F.col("source").alias("host"))
-    found = pages.select("doc_id", "text", "page").mapInArrow(
-        material_batches(share, *parameters), "doc_id bigint, page bigint, chars bigint, listed bigint, unit array<bigint>, first array<bigint>, last array<bigint>"
-    )
-    found = written(found.where("chars > 0"))
-    listed = found.where(F.col("listed") > share * F.col("chars")).select("doc_id", "chars", "listed")
-    # Only pages that open units could carry over the threshold need their units' hosts; hosts count on all pages.
-    near = found.where(F.size("unit") > 0).select("doc_id", "page", "chars", "listed", F.explode(F.arrays_zip("unit", "first", "last")).alias("u"))
-    near = near.select("doc_id", "page", "chars", "listed", "u.unit", "u.first", "u.last")
+    found = pages.select("doc_id", "text", "page").mapInArrow(material_batches(share, *parameters), MATERIAL)
+    found = written(found.where("chars > 0 and (listed > 0 or size(unit) > 0)"))
+    one_host = documents.agg(F.min("source") == F.max("source")).first()[0] is not False
+    ids = ["doc_id", "page", "chars", "listed", "proven", "unproven"]
+    near = found.where(F.size("unit") > 0).select(*ids, F.explode(F.arrays_zip("unit", *PLACES)).alias("u")).select(*ids, "u.unit", *[f"u.{c}" for c in PLACES])
     bits = unit_filter(near)
-    if bits is not None:
-        spread_out = (
+    if bits is None:
+        hosts = pages.select(F.lit(0).cast("bigint").alias("unit"), F.lit(0).cast("bigint").alias("hosts")).limit(0)
+    else:
+        hosts = (
             pages.where("host is not null").select("text", "host").mapInArrow(unit_batches(bits, *parameters), "unit bigint, host string")
             .groupBy("unit", "host").agg(F.lit(1).alias("one"))
-            .groupBy("unit").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= least_hosts).select("unit")
+            .groupBy("unit").agg(F.count("*").alias("hosts")).where("hosts > 1")
         )
-        # Stretches of one page may overlap: each character counts once.
-        start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("total"))
-        step = lambda a, x: F.struct(
-            F.greatest(a["end"], x["last"]).alias("end"), (a["total"] + F.greatest(F.lit(0), x["last"] - F.greatest(a["end"], x["first"]))).alias("total")
-        )
-        carried = (
-            near.join(spread_out, "unit").groupBy("doc_id", "page", "chars", "listed").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("parts"))
-            .select("doc_id", "chars", (F.col("listed") + F.aggregate("parts", start, step)["total"]).alias("listed"))
-        )
-        listed = listed.unionByName(carried)
+    # Stretches of one page may overlap.
+    stretches = lambda a, b, ok: F.sort_array(F.collect_set(F.when(ok & (F.col(b) > F.col(a)), F.struct(F.col(a).alias("first"), F.col(b).alias("last")))))
+    by_hosts = (
+        near.join(hosts, "unit").groupBy(*ids).agg(stretches("first", "last", F.col("hosts") >= least_hosts).alias("makes"), stretches("from", "until", F.col("hosts") > 1).alias("proves"))
+        .select("doc_id", "page", covered(F.col("makes"), "made"), covered(F.col("proves"), "shown"))
+    )
+    joined = found.select(*ids).distinct().join(by_hosts, ["doc_id", "page"], "left").fillna(0, ["made", "shown"])
+    all_listed = F.col("listed") + F.col("made")
+    is_proven = F.lit(one_host) | (F.col("proven") + F.col("shown") >= proof * (F.col("proven") + F.col("unproven")))
     return (
-        listed.select("doc_id", F.least(F.col("listed") / F.col("chars"), F.lit(1.0)).alias("list_share"))
-        .where(F.col("list_share") > share).groupBy("doc_id").agg(F.max("list_share").alias("list_share"))
+        joined.where((all_listed > share * F.col("chars")) & is_proven)
+        .groupBy("doc_id").agg(F.max(F.least(all_listed / F.col("chars"), F.lit(1.0))).alias("list_share"))
     )
