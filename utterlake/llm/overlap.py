@@ -5,26 +5,29 @@ have; with d edits or fewer at least one passage stands unchanged in the partner
 Aho-Corasick automata over shards of the evaluation passages scan all training texts.  The matched
 intervals of each pair are merged into a coverage of the evaluation record; pairs that match fewer
 passages than their own number of edits leaves untouched are out, the rest are measured exactly.
-No pair within the threshold is lost.
+Shards hold evaluation texts of one band of lengths, and a training text is sent to the bands that a partner of it
+may have only.  No pair within the threshold is lost.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cores, written
-from .common import split_name
+from .common import row_slices, split_name
 from .visual_form import code_points, letters
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-#: Training texts whose candidates are measured together, of these the ones that are looked up
-#: together, and the hits times groups of entries that are held at once.
-BATCH, SLICE, GROUPS = 8192, 512, 1 << 19
+#: Training texts that are looked up together, the hits times groups of entries that are held at once, and the letters
+#: of texts that are measured together.
+SLICE, GROUPS, LETTERS = 512, 1 << 19, 1 << 20
 
 
 def most_edits(longer: np.ndarray, share: float) -> np.ndarray:
@@ -205,7 +208,10 @@ def scan(shard: Passages, sketch: Sketch, texts: list[str], points: np.ndarray,
     most = allowed[np.maximum(size[t], shard.size[e])]
     edits = np.zeros(len(t), np.int64)
     for d in np.unique(most):
-        for at in np.array_split(np.flatnonzero(most == d), max(1, int((most == d).sum()) // 4096 + 1)):
+        own = np.flatnonzero(most == d)
+        # No more at once than matrices of bounded size hold; texts of one d differ little in length.
+        width = int(max(size[t[own]].max(), shard.size[e[own]].max())) + 2 * int(d) + 2
+        for at in np.array_split(own, -(-len(own) * width // LETTERS)):
             a, a_len = padded(points, offsets, t[at])
             b, b_len = padded(shard.points, shard.offsets, e[at])
             edits[at] = edit_distances(a, a_len, b, b_len, int(d))
@@ -213,23 +219,36 @@ def scan(shard: Passages, sketch: Sketch, texts: list[str], points: np.ndarray,
     return t[ok], e[ok], edits[ok], coverage[ok]
 
 
-def scan_group(share: float):
-    """The scan of one chunk of training texts against one shard, as a function of two Arrow tables."""
+def scan_cells(share: float):
+    """Scans of training texts against the shard of their cell: rows come sorted by cell, the shard's before the training texts."""
     schema = pa.schema([("train_key", pa.int64()), ("eval_key", pa.int64()), ("edits", pa.int64()), ("coverage", pa.float64())])
 
-    def run(train: pa.Table, held: pa.Table) -> pa.Table:
-        if not train.num_rows or not held.num_rows:
-            return schema.empty_table()
-        column = held["eval_letters"].combine_chunks()
-        points, offsets = code_points(column)
-        shard, sketch = Passages(column.to_pylist(), points, offsets, share), Sketch(points, offsets)
-        eval_key, out = held["eval_key"].to_numpy(), []
-        for batch in train.to_batches(max_chunksize=BATCH):
-            texts = batch["letters"]
-            points, offsets = code_points(texts)
-            t, e, edits, coverage = scan(shard, sketch, texts.to_pylist(), points, offsets, share)
-            out.append(pa.table([batch["key"].to_numpy()[t], eval_key[e], edits, coverage], schema=schema))
-        return pa.concat_tables(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, shard = None, [], None
+        for batch in batches:
+            cells, sides = batch["cell"].to_numpy(), batch["side"].to_numpy()
+            edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (sides[1:] != sides[:-1])) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if x == y:
+                    continue
+                part = batch[x:y]
+                if cells[x] != cell:
+                    cell, parts, shard = cells[x], [], None
+                if sides[x] == 0:
+                    parts.append(part)
+                    continue
+                if shard is None and parts:
+                    held = pa.Table.from_batches(parts).combine_chunks()
+                    column = held["letters"].combine_chunks()
+                    points, offsets = code_points(column)
+                    shard, parts = (Passages(column.to_pylist(), points, offsets, share), Sketch(points, offsets), held["key"].to_numpy()), []
+                if shard is None:
+                    continue
+                for a, b in row_slices(part["letters"]):
+                    texts = part["letters"][a:b]
+                    points, offsets = code_points(texts)
+                    t, e, edits, coverage = scan(shard[0], shard[1], texts.to_pylist(), points, offsets, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(part["key"][a:b].to_numpy()[t]), pa.array(shard[2][e]), pa.array(edits), pa.array(coverage)], schema=schema)
 
     return run
 
@@ -239,41 +258,54 @@ def near_classes(classes: DataFrame, share: float = 0.15, shard_letters: int = 6
 
     classes: key bigint, letters string, trains, evals boolean (a text may be on both sides).
     Result: train_key, eval_key bigint, edits bigint, coverage double; equal texts are left to a join.
-    The evaluation side is the stated query set: it is cut into shards of bounded size, the training
-    side into chunks, and each chunk meets each shard in one task.
+    The evaluation side is the stated query set: neighbouring bands of lengths share a shard of bounded size, larger bands have several.
+    A text of n letters has partners of (1 - share) n to n / (1 - share) letters, so the training texts of three bands meet the shards
+    of one, in chunks; each cell of a chunk and a shard is one partition, whose training texts pass by in batches.
     """
     spark = classes.sparkSession
-    letters_of = lambda side: F.coalesce(F.sum(F.when(F.col(side), F.length("letters"))), F.lit(0))
-    trains, evals = classes.agg(letters_of("trains"), letters_of("evals")).first()
-    shards = max(1, -(-evals // shard_letters))
-    # As many chunks as keep all cores busy, unless texts are few; more where they are many.
-    chunks = max(-(-trains // chunk_letters), min(-(-2 * cores(spark) // shards), -(-trains // least_chunk)), 1)
-    cells = int(chunks * shards)
-    cell = F.element_at(F.array(*map(F.lit, spread_ids(spark, cells))), F.expr(f"chunk * {shards} + shard + 1"))
-    part = lambda n: F.pmod(F.xxhash64("key"), F.lit(int(n))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-    # The sides are of one table; the cogroup needs columns of its own on either, or it prunes them as the same.
-    train = classes.where("trains").select("key", "letters", part(chunks).alias("chunk"), every(shards).alias("shard"))
-    held = classes.where("evals").select(F.col("key").alias("eval_key"), F.col("letters").alias("eval_letters"), every(chunks).alias("chunk"), part(shards).alias("shard"))
-    train = train.select("key", "letters", cell.alias("cell")).repartition(cells, "cell")
-    held = held.select("eval_key", "eval_letters", cell.alias("cell")).repartition(cells, "cell")
-    return (
-        train.groupBy("cell").cogroup(held.groupBy("cell"))
-        .applyInArrow(scan_group(share), "train_key bigint, eval_key bigint, edits bigint, coverage double")
-        .where("train_key <> eval_key")
-    )
-
-
-def spread_ids(spark: SparkSession, n: int) -> list[int]:
-    """Numbers of n groups, one for each of n hash partitions, so that no two groups share a task."""
-    found: dict[int, int] = {}
-    start = 0
-    while len(found) < n:
-        more = spark.range(start, start + 20 * n + 100).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
-        for r in more.collect():
-            found.setdefault(r["p"], r["id"])
-        start += 20 * n + 100
-    return [found[p] for p in range(n)]
+    ratio = -math.log(1 - share) if share > 0 else 1.0
+    band = F.floor(F.log(F.length("letters").cast("double")) / ratio).cast("int")
+    texts = classes.where("letters <> ''").withColumn("band", band)
+    sides = texts.groupBy("band").agg(*[F.coalesce(F.sum(F.when(F.col(c), F.length("letters"))), F.lit(0)).alias(c) for c in ("trains", "evals")]).collect()  # a band is a sixth longer than the one before: few rows
+    trains, evals = ({r["band"]: int(r[c]) for r in sides} for c in ("trains", "evals"))
+    # Neighbouring bands that one shard can hold go together; a band that is larger has several shards.
+    runs: list[list[int]] = []
+    for b in sorted(b for b, n in evals.items() if n):
+        if runs and sum(evals[x] for x in runs[-1]) + evals[b] <= shard_letters:
+            runs[-1].append(b)
+        else:
+            runs.append([b])
+    run_of = {b: k for k, run in enumerate(runs) for b in run}
+    plan, cells = {}, 0
+    least = max(1, sum(trains.values()) // (2 * cores(spark)))
+    for k, run in enumerate(runs):
+        meets = sum(trains.get(b, 0) for b in {b + d for b in run for d in (-1, 0, 1)})
+        if not meets:
+            continue
+        shards = -(-sum(evals[b] for b in run) // shard_letters)
+        # As many chunks as keep all cores busy, unless texts are few; more where they are many.
+        chunks = max(-(-meets // chunk_letters), min(-(-meets // least), -(-meets // least_chunk)), 1)
+        plan[k] = (cells, shards, chunks)
+        cells += shards * chunks
+    if not cells:
+        return spark.createDataFrame([], "train_key bigint, eval_key bigint, edits bigint, coverage double")
+    run_map = F.create_map(*[F.lit(x) for b, k in run_of.items() for x in (b, k)])
+    value = lambda k: F.element_at(F.create_map(*[F.lit(x) for b, v in plan.items() for x in (b, v[k])]), F.col("goal"))
+    base, shards, chunks = value(0), value(1), value(2)
+    part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def rows(side: DataFrame, number: int, goals: Column, chunk, shard) -> DataFrame:
+        planned = side.select("key", "letters", goals.alias("goal")).where(F.col("goal").isin(list(plan)))
+        placed = planned.select("key", "letters", base.alias("base"), shards.alias("shards"), chunk(chunks).alias("chunk"), F.col("goal"))
+        placed = placed.select("key", "letters", "base", "shards", "chunk", shard(shards).alias("shard"))
+        return placed.select((F.col("base") + F.col("chunk") * F.col("shards") + F.col("shard")).cast("int").alias("cell"), F.lit(number).alias("side"), "key", "letters")
+
+    held = rows(texts.where("evals"), 0, F.element_at(run_map, F.col("band")), every, part)
+    near_runs = F.array_distinct(F.array(*[F.try_element_at(run_map, F.col("band") + d) for d in (-1, 0, 1)]))
+    train = rows(texts.where("trains"), 1, F.explode(near_runs), part, every)
+    placed = held.unionByName(train).repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "side")
+    return placed.mapInArrow(scan_cells(share), "train_key bigint, eval_key bigint, edits bigint, coverage double").where("train_key <> eval_key")
 
 
 def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int = 25) -> DataFrame:
@@ -294,17 +326,18 @@ def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int
         rows.where("text is not null")
         .select("id", "train", letters("text").alias("letters"))
         .where(F.length("letters") >= least_letters)
-        .withColumn("key", F.xxhash64("letters"))
+        .withColumns({"key": F.xxhash64("letters"), "other": F.hash("letters")})
         .distinct()
     )
     texts = written(texts)
-    members = texts.select("key", "id", "train")
+    members = texts.select("key", "other", "id", "train")
     classes = texts.groupBy("key", "letters").agg(F.max("train").alias("trains"), F.max(~F.col("train")).alias("evals"))
     near = near_classes(classes, share)
-    trains = members.where("train").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"))
-    evals = members.where("not train").select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"))
+    trains = members.where("train").select(F.col("key").alias("train_key"), F.col("other").alias("train_other"), F.col("id").alias("train_id"))
+    evals = members.where("not train").select(F.col("key").alias("eval_key"), F.col("other").alias("eval_other"), F.col("id").alias("eval_id"))
     by_near = near.join(trains, "train_key").join(evals, "eval_key").select("train_id", "eval_id", "edits", "coverage")
-    same = trains.join(evals, F.col("train_key") == F.col("eval_key")).select("train_id", "eval_id", F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("coverage"))
+    # Texts are told by two hashes, 96 bits together.
+    same = trains.join(evals, (F.col("train_key") == F.col("eval_key")) & (F.col("train_other") == F.col("eval_other"))).select("train_id", "eval_id", F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("coverage"))
     digests = rows.where((F.col("sha") != "") & (F.col("sha") != EMPTY_SHA256)).select("sha", "id", "train").distinct()
     by_digest = (
         digests.where("train").select("sha", F.col("id").alias("train_id"))
