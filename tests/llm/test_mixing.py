@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.llm.mixing import mix, mix_shares, split_quotas
+from utterlake.llm.mixing import coprime, leaves, mix, mix_shares, split_quotas
 
 DOCS = "doc_id bigint, source string, n bigint, copy int, shard string"
 
@@ -47,3 +47,17 @@ def test_total_and_empty(spark, corpus):
     got = mix(docs, targets, total_tokens=2000, size="n").agg(F.sum("tokens")).first()[0]
     assert 1950 <= got <= 2000
     assert mix(docs.limit(0), targets, size="n").count() == 0 and mix(docs, targets.limit(0), size="n").count() == 0
+
+
+def test_any_part_of_the_tree_is_the_same():
+    quotas = np.array([3, 170, 41, 0])
+    whole = [(s, a.tolist(), q.tolist()) for s, a, q in leaves(quotas, 37, 5, 0, 37)]
+    parts = [(s, a.tolist(), q.tolist()) for lo in range(0, 37, 10) for s, a, q in leaves(quotas, 37, 5, lo, lo + 10)]
+    assert whole == parts and [s for s, _, _ in whole] == list(range(37))
+    at = np.zeros(4, int)
+    for _, start, own in whole:
+        assert start == at.tolist()
+        at += own
+    assert at.tolist() == quotas.tolist()
+    for n in range(1, 300):
+        assert len({k * coprime(n, 11) % n for k in range(n)}) == n

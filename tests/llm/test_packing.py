@@ -61,3 +61,12 @@ def test_tokens_and_fill(spark, folder):
     assert f.most <= 2048 and f.filled > 0.97 and f.containers <= f.least * 1.03 + 1
     got = spark.createDataFrame([("hello world",), (None,), ("",)], "t string").select(*[token_count("t", v) for v in ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken", "byte_bpe_50k.json")]).collect()
     assert got[0][1] == got[0][2] == 2 and tuple(got[1]) == (None, None, None) and tuple(got[2]) == (0, 0, 0)
+
+
+def test_rows_of_one_name_and_several_sizes(spark):
+    docs = spark.createDataFrame([(1, 100), (1, 1900), (2, 1940), (3, 90)], "doc_id bigint, n int")
+    got = containers(docs.withColumn("text", F.lit("x")), 2048, size=F.col("n")).collect()
+    used = {}
+    for r in got:
+        used[r.container] = used.get(r.container, 0) + r.tokens
+    assert {(r.doc_id, r.tokens) for r in got} == {(1, 1900), (2, 1940), (3, 90)} and max(used.values()) <= 2048

@@ -102,15 +102,16 @@ def containers(documents: DataFrame, capacity: int = 2048, size: Column | None =
     """Texts in containers of capacity tokens, with as little room left as possible: doc_id, piece, start_token, tokens, container.
 
     documents: doc_id, text; other columns are left out.  Only texts above the capacity are divided, into
-    pieces of the whole capacity and a rest.  Texts of no tokens (null, empty) need no room and give no row.  Rows
-    that repeat a doc_id with the same size count once; a container has the name of one of its pieces.
+    pieces of the whole capacity and a rest.  Texts of no tokens (null, empty) need no room and give no row.  Of rows
+    that repeat a doc_id the largest counts; a container has the name of one of its pieces.
     """
     sized = documents.where("doc_id is not null and text is not null").select("doc_id", (token_count("text") if size is None else size).alias("all"))
+    sized = sized.groupBy("doc_id").agg(F.max("all").alias("all"))
     pieces = sized.where(F.col("all") > 0).select(
         "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(all - 1) div {capacity}")), lambda k: F.least(F.lit(capacity), F.col("all") - k * capacity))).alias("piece", "size")
     )
     named = pieces.select(F.concat_ws(":", "doc_id", "piece").alias("name"), F.col("size").cast("bigint").alias("size"))
-    bins = pack_items(named, capacity).groupBy("name").agg(F.max("size").alias("size"), F.max("bin").alias("bin"))
+    bins = pack_items(named, capacity)
     part = F.split("name", ":")
     return bins.select(
         part[0].cast("bigint").alias("doc_id"), part[1].cast("bigint").alias("piece"), (part[1].cast("bigint") * capacity).alias("start_token"), F.col("size").alias("tokens"), F.col("bin").alias("container")

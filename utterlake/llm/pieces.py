@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_slices
 from .visual_form import code_points, tables, to_strings
 
 RATE = 16_000
@@ -189,7 +190,7 @@ def piece_batches(limit: int, overlap: int, near: float):
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part[a:b] for part in batches for a, b in row_slices(part["sentence"])):
             size = batch["size"].to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(size):
                 continue

@@ -32,6 +32,15 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return take_pieces(table(spark, folder, "takes"))
 
 
+def p1_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each take are together."""
+    pieces = take_pieces(table(spark, folder, "takes"))
+    return pieces.groupBy("take_id").agg(
+        F.min("start_sample").alias("first_sample"), F.max("end_sample").alias("last_sample"), F.max(F.col("end_sample") - F.col("start_sample") > 16 * 16_000).alias("too_long"),
+        (F.sum(F.col("end_sample") - F.col("start_sample")) - (F.max("end_sample") + 8_000 * (F.count("*") - 1))).alias("beside_overlap"), (F.count("*") == F.max("pieces")).alias("numbered"),
+    )
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -83,7 +92,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_paraphrases, p3_found, p3_counts, p4_found, p5_found, p5_splits, p6_containers, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_paraphrases, p3_found, p3_counts, p4_found, p5_found, p5_splits, p6_containers, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -94,4 +103,9 @@ def oracle_sql() -> dict[str, str]:
                 SELECT take_id, greatest(CASE WHEN duration > 0 AND NOT isnan(duration) THEN duration END, list_max(list_transform(regions, lambda r: r.end_sample)) / 16000.0) AS seconds FROM takes
             ) WHERE take_id IS NOT NULL GROUP BY take_id HAVING max(seconds) > 16
         """,
+        "p1_cover": """
+            SELECT take_id, CAST(0 AS BIGINT) AS first_sample, max(size) AS last_sample, false AS too_long, CAST(0 AS BIGINT) AS beside_overlap, true AS numbered FROM (
+                SELECT take_id, greatest(CASE WHEN duration > 0 AND NOT isnan(duration) THEN CAST(ceil(duration * 16000) AS BIGINT) END, list_max(list_filter(list_transform(regions, lambda r: r.end_sample), lambda x: x > 0))) AS size FROM takes
+            ) WHERE take_id IS NOT NULL AND size IS NOT NULL GROUP BY take_id
+        """,
     }
