@@ -58,7 +58,7 @@ def test_wave_round_trip(spark):
     assert bytes(part[0]) == pcm[20:24] and part[1] == 1000 / 16000
 
 
-@pytest.mark.parametrize(("source", "path", "want"), [("ganjoor", "x/p1_chunk_3.wav", "p1"), ("filimo", "f/1234567890.wav", "12345"), ("filimo", "f/abc.wav", "f"), ("seniortalk", "Elderly0001S0002W0003.wav", "Elderly0001S0002"), ("mozilla", "a/b.mp3", "b")])
+@pytest.mark.parametrize(("source", "path", "want"), [("ganjoor", "x/p1_chunk_3.wav", "ganjoor:p1"), ("filimo", "f/1234567890.wav", "filimo:12345"), ("filimo", "f/abc.wav", "filimo:f"), ("seniortalk", "Elderly0001S0002W0003.wav", "seniortalk:Elderly0001"), ("seniortalk", "x.wav", "seniortalk:x"), ("mozilla", "a/b.mp3", "mozilla:b")])
 def test_recordings(spark, source, path, want):
     assert spark.range(1).select(readers.recording_of(source, F.lit(path))).first()[0] == want
 

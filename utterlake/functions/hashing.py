@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .text import col
 
 
-def seeded(key: Column | str, seed: str = "42") -> Column:
-    """Hex digest of seed:key; its order is the order of the number."""
-    return F.sha2(F.concat(F.lit(f"{seed}:"), col(key)), 256)
+def seeded(key: Column | str, seed: str | None = "42", joint: str = ":") -> Column:
+    """Hex digest of seed:key, or of the bare key without a seed; its order is the order of the number."""
+    return F.sha2(col(key) if seed is None else F.concat(F.lit(f"{seed}{joint}"), col(key)), 256)
 
 
 def bucket(key: Column | str, seed: str = "42") -> Column:
@@ -32,8 +32,3 @@ def python_round(c: Column | str, digits: int) -> Column:
         return pa.array([None if v is None else round(v, digits) for v in x.to_pylist()], pa.float64())
 
     return F.arrow_udf(run, "double")(c)
-
-
-def half_even(c: Column | str) -> Column:
-    """Half-even rounding to a whole number."""
-    return F.bround(col(c)).cast("bigint")

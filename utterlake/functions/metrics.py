@@ -9,13 +9,15 @@ from .text import col, normalize_ctc, normalize_eval, plain_text, words
 
 
 def coded(tokens: Column, table: Column) -> Column:
-    """Tokens as one code point each: their place in a table of distinct tokens."""
-    point = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(table, t) + F.lit(255)), 4, "0")), "UTF-16BE")
+    """Tokens as one code point each: their place in a table of distinct tokens, past the surrogates where it would be one."""
+    place = lambda t: F.array_position(table, t) + F.lit(255)
+    number = lambda t: place(t) + F.when(place(t) >= 0xD800, 0x800).otherwise(0)
+    point = lambda t: F.decode(F.unhex(F.lpad(F.hex(number(t)), 8, "0")), "UTF-32")
     return F.array_join(F.transform(tokens, point), "")
 
 
 def token_edits(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of tokens, of fewer than 55,000 distinct tokens together."""
+    """Edit distance of two arrays of tokens, of fewer than a million distinct tokens together."""
     table = F.array_distinct(F.concat(a, b))
     return F.levenshtein(coded(a, table), coded(b, table))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -59,9 +59,9 @@ def vocabulary(texts: DataFrame, text: str, *by: str) -> DataFrame:
 
 
 def joined_text(chunks: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """The texts of each recording in order, joined by blanks."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return chunks.where(F.col(text).isNotNull()).groupBy(by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("joined"))
+    """The texts of each recording in order, joined by blanks; a chunk without text is an empty one."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))
+    return chunks.groupBy(by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("joined"))
 
 
 def incomplete(chunks: DataFrame, whole: DataFrame, by: str, order: str, text: str, full: str) -> DataFrame:
@@ -106,11 +106,6 @@ def pair_files(audio: DataFrame, text: DataFrame, key: str) -> DataFrame:
     return both.withColumn("problem", F.when(F.col("audios") != 1, "audio files").when(F.col("texts") != 1, "text files"))
 
 
-def predicted(rows: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the prediction of their distinct key: each key is predicted once."""
-    return rows.join(predictions, keys, "left")
-
-
 def cache_hits(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Requests, distinct keys and requests answered from the cache."""
     n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -130,7 +125,3 @@ def equal_sets(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -
     b = right.select(key, F.struct(*fields).alias("_b"))
     j = a.join(b, key, "full")
     return j.agg(F.count_if(F.col("_b").isNull()).alias("left_only"), F.count_if(F.col("_a").isNull()).alias("right_only"), F.count_if(F.col("_a") != F.col("_b")).alias("differ"))
-
-
-def column_or(c: str, default: object) -> Column:
-    return F.coalesce(F.col(c), F.lit(default))

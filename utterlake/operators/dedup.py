@@ -28,13 +28,13 @@ def promote(rows: DataFrame, group: str = "source_id") -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str = "pcm_sha256", order: str = "ordinal") -> DataFrame:
-    """Add kept: true for the first row of each content key by split precedence, then order.
+    """Add kept: true for the first row of each content key by split precedence, then order, and for rows without a key.
 
     The first row of a key is found by a partial aggregate, so that a key of many rows is no large group.
     """
-    first = rows.groupBy(key).agg(F.min(F.struct(-priority("split"), F.col(order))).alias("_first"))
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(-priority("split"), F.col(order))).alias("_first"))
     first = first.select(F.col(key).alias("_key"), F.col("_first")[order].alias("_order"))
-    return rows.join(first, rows[key].eqNullSafe(F.col("_key"))).withColumn("kept", F.col(order) == F.col("_order")).drop("_key", "_order")
+    return rows.join(first, rows[key] == F.col("_key"), "left").withColumn("kept", F.col(key).isNull() | (F.col(order) == F.col("_order"))).drop("_key", "_order")
 
 
 def remove_leakage(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import col, squeeze, words
+from ..functions.text import col, normalize_eval, squeeze
 
 # Answers that approve a review.
 APPROVED = ["1", "true", "yes", "y", "بله", "تایید", "تأیید"]
@@ -19,10 +19,11 @@ def blank(c: Column | str) -> Column:
     return F.coalesce(squeeze(col(c)), F.lit("")) == ""
 
 
-def first_reason(rows: DataFrame, least: float, most: float) -> DataFrame:
-    """Add reason: the first of duration and empty text that fails, else null."""
+def first_reason(rows: DataFrame, least: float | Column, most: float | Column, undecoded: Column | None = None, silent: Column | None = None, collides: Column | None = None) -> DataFrame:
+    """Add reason: the first of decode error, duration, empty text, silent audio and id collision that holds, else null."""
     within = F.coalesce(F.col("duration").between(least, most), F.lit(False))
-    return rows.withColumn("reason", F.when(~within, "duration").when(blank("text"), "empty_text"))
+    checks = [(undecoded, "decode"), (~within, "duration"), (blank("text"), "empty_text"), (silent, "silent_audio"), (collides, "id_collision")]
+    return rows.withColumn("reason", F.coalesce(*[F.when(c, F.lit(name)) for c, name in checks if c is not None]))
 
 
 def reasons_of(checks: dict[str, Column]) -> Column:
@@ -30,13 +31,20 @@ def reasons_of(checks: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]), lambda x: x.isNotNull())
 
 
-def all_reasons(rows: DataFrame, least: float = 1, most: float = 16, most_cer: float = 0.45) -> DataFrame:
-    """Add reasons: every failing check of the final corpus (duration, empty text, error rate)."""
-    return rows.withColumn("reasons", reasons_of({
+def all_reasons(rows: DataFrame, least: float = 1, most: float = 16, most_cer: float = 0.45, unsupported: Column | None = None, silent: Column | None = None, compose: bool = True) -> DataFrame:
+    """Add reasons: every failing check of the final corpus, in order (duration, nothing left of the text in evaluation form, characters the aligner lacks, error rate, silence).
+
+    unsupported and silent are conditions on the rows, where they can be told; compose as of normalize_eval().
+    """
+    # The names of the reasons.
+    checks = {
         "duration_outside_1_16_seconds": ~F.coalesce(F.col("duration").between(least, most), F.lit(False)),
-        "empty_normalized_text": blank("text"),
+        "empty_normalized_text": F.coalesce(normalize_eval("text", compose), F.lit("")) == "",
+        "unsupported_alignment_character": unsupported,
         "alignment_cer_above_0.45": F.col("alignment_cer") > most_cer,
-    }))
+        "silent_audio": silent,
+    }
+    return rows.withColumn("reasons", reasons_of({k: c for k, c in checks.items() if c is not None}))
 
 
 def quality_gate(rows: DataFrame, least: float = 1, most: float = 20, most_wer: float = 0.55, include_review: bool = False) -> DataFrame:
@@ -127,7 +135,3 @@ def overlap_violations(rows: DataFrame, by: str, order: str, start: str = "start
     """Rows that end after the next one of their group begins."""
     after = F.lead(start).over(Window.partitionBy(by).orderBy(order))
     return rows.withColumn("next_start", after).where(F.col(end) > F.col("next_start") + slack)
-
-
-def word_count(c: Column | str) -> Column:
-    return F.size(words(c)).cast("bigint")

@@ -14,7 +14,7 @@ from ..functions.hashing import seeded
 from ..functions.text import col
 
 
-def hash_rank(df: DataFrame, key: str, seed: str = "42", by: list[str] | None = None, prefix: int = 2) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: str | None = "42", by: list[str] | None = None, prefix: int = 2) -> DataFrame:
     """Add rank (from 1) in the order of the digest of seed:key, and total, over all rows or within by.
 
     Two passes: rows by digest prefix (256 counters a group), then ranks within a prefix.  Equal keys are ordered by key.
@@ -39,8 +39,8 @@ def hash_rank(df: DataFrame, key: str, seed: str = "42", by: list[str] | None =
 def group_split(rows: DataFrame, group_by: str = "speaker_id", validation: float = 0.1, test: float = 0.1, seed: str = "42") -> DataFrame:
     """Rows with a split by group: the first groups in hash order are test, the next validation.
 
-    Where all speakers are blank or unknown, groups are source_id.  With three groups or more test gets one at least,
-    validation too if two are left; validation shrinks until train is not empty.
+    Where all speakers are blank or unknown, groups are source_id.  Rows without a group are one group, named None.  With three
+    groups or more test gets one at least, validation too if two are left; validation shrinks until train is not empty.
     """
     if validation < 0 or test < 0 or validation + test >= 1:
         raise ValueError("ratios must be non-negative and sum to less than 1")
@@ -48,14 +48,15 @@ def group_split(rows: DataFrame, group_by: str = "speaker_id", validation: float
         known = rows.where(~F.coalesce(F.trim("speaker_id"), F.lit("")).isin("", "unknown"))
         if known.isEmpty():
             group_by = "source_id"
-    names = hash_rank(rows.select(F.col(group_by).alias("_name")).distinct(), "_name", seed)
+    name = F.coalesce(F.col(group_by).cast("string"), F.lit("None"))
+    names = hash_rank(rows.select(name.alias("_name")).distinct(), "_name", seed)
     n = F.col("total")
     t = F.when((n >= 3) & F.lit(test > 0), F.greatest(F.lit(1), F.bround(n * F.lit(test)))).otherwise(F.bround(n * F.lit(test)))
     v = F.when((n - t >= 2) & F.lit(validation > 0), F.greatest(F.lit(1), F.bround(n * F.lit(validation)))).otherwise(F.bround(n * F.lit(validation)))
     v = F.greatest(F.lit(0), F.least(v, n - t - 1))
     split = F.when(F.col("rank") <= t, "test").when(F.col("rank") <= t + v, "validation").otherwise("train")
     chosen = names.select("_name", split.alias("split"))
-    return rows.drop("split").join(chosen, rows[group_by].eqNullSafe(chosen["_name"])).drop("_name")
+    return rows.drop("split").withColumn("_group", name).join(chosen, F.col("_group") == F.col("_name")).drop("_name", "_group")
 
 
 def strata_split(groups: DataFrame, group: str, stratum: str, share: float = 0.1, least: int = 3, seed: str = "42") -> DataFrame:
@@ -66,8 +67,8 @@ def strata_split(groups: DataFrame, group: str, stratum: str, share: float = 0.1
     return ranked.withColumn("split", split).drop("rank", "total")
 
 
-def first_share(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
-    """The first share of the rows in hash order, one at least."""
+def first_share(df: DataFrame, key: str, share: float, seed: str | None) -> DataFrame:
+    """The first share of the rows in hash order, one at least; without a seed the order is of the bare key's digest."""
     ranked = hash_rank(df, key, seed)
     return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("total") * F.lit(share)))).drop("rank", "total")
 

@@ -12,9 +12,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this machine only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir, or set by setCheckpointDir; a temporary one of this machine only for a local master, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="utterlake-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

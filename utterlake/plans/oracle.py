@@ -72,7 +72,7 @@ U = f"u AS (SELECT * REPLACE ({SPLIT} AS split) FROM utterances)"
 PROMOTED = f"""{U}, promoted AS (
     SELECT * REPLACE ((['train', 'validation', 'test'])[max({PRIORITY.format("split")}) OVER (PARTITION BY source_id) + 1] AS split), split AS original_split FROM u
 )"""
-KEPT = f"{PROMOTED}, kept AS (SELECT *, row_number() OVER (PARTITION BY pcm_sha256 ORDER BY {PRIORITY.format('split')} DESC, ordinal) = 1 AS kept FROM promoted WHERE pcm_sha256 IS NOT NULL)"
+KEPT = f"{PROMOTED}, kept AS (SELECT *, pcm_sha256 IS NULL OR row_number() OVER (PARTITION BY pcm_sha256 ORDER BY {PRIORITY.format('split')} DESC, ordinal) = 1 AS kept FROM promoted)"
 STATS = "SELECT split, count(*) AS samples, round(sum(duration) / 3600, 4) AS hours, count(DISTINCT source_id) AS source_recordings FROM kept WHERE kept GROUP BY split"
 
 
@@ -113,10 +113,17 @@ def frames(n: str) -> str:
 
 def volume(name: str, share: float) -> str:
     return f"""SELECT id, '{name}' AS volume FROM (
-        SELECT id, row_number() OVER (ORDER BY sha256('volume42:' || id), id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM utterances WHERE source = 'elderly')
+        SELECT id, row_number() OVER (ORDER BY sha256('volume42' || id), id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM (SELECT * REPLACE ({SPLIT} AS split) FROM utterances) WHERE source = 'elderly' AND split = 'train')
     ) WHERE k <= greatest(1, round_even(n * {share}, 0))"""
 
 
+def composed(members: str) -> str:
+    """Counts of a corpus after promotion and content deduplication."""
+    return f"""WITH {U}, valid AS ({members}), promoted AS (
+            SELECT * REPLACE ((['train', 'validation', 'test'])[max({PRIORITY.format("split")}) OVER (PARTITION BY source_id) + 1] AS split) FROM valid
+        ), kept AS (SELECT *, pcm_sha256 IS NULL OR row_number() OVER (PARTITION BY pcm_sha256 ORDER BY {PRIORITY.format("split")} DESC, ordinal) = 1 AS kept FROM promoted) {STATS}"""
+
+
 COMPOSED = ", ".join(f"({q(n)}, {q(s)})" for n, members in COMPOSITIONS.items() for s in members)
 LEAKS = " UNION ALL ".join(
     f"""SELECT '{key}' AS key, '{a}' AS split_a, '{b}' AS split_b, (SELECT count(*) FROM (
@@ -143,12 +150,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT source_id, ('0x' || substr(sha256('42:' || source_id), 1, 12))::BIGINT % 100 AS b FROM (SELECT DISTINCT source_id FROM utterances))""",
         "promote_split": f"WITH {PROMOTED} SELECT ordinal, source_id, original_split, split FROM promoted",
         "keep_first_dedup": f"WITH {KEPT} SELECT ordinal, id, split, kept FROM kept",
-        "publish_stats": f"""WITH {U}, valid AS (SELECT * FROM u WHERE pcm_sha256 IS NOT NULL), promoted AS (
-                SELECT * REPLACE ((['train', 'validation', 'test'])[max({PRIORITY.format("split")}) OVER (PARTITION BY source_id) + 1] AS split) FROM valid
-            ), kept AS (SELECT *, row_number() OVER (PARTITION BY pcm_sha256 ORDER BY {PRIORITY.format("split")} DESC, ordinal) = 1 AS kept FROM promoted) {STATS}""",
+        "publish_stats": f"WITH {KEPT} {STATS}",
         "first_reason": f"WITH {U} SELECT ordinal, CASE WHEN NOT coalesce(duration BETWEEN 1 AND 20, false) THEN 'duration' WHEN {blank('text')} THEN 'empty_text' END AS reason FROM u",
         "all_reasons": "SELECT ordinal, " + REASONS.format(f"""CASE WHEN NOT coalesce(duration BETWEEN 1 AND 16, false) THEN 'duration_outside_1_16_seconds' END,
-            CASE WHEN {blank('text')} THEN 'empty_normalized_text' END, CASE WHEN alignment_cer > 0.45 THEN 'alignment_cer_above_0.45' END""") + " AS reasons FROM utterances",
+            CASE WHEN coalesce({evaluated('text')}, '') = '' THEN 'empty_normalized_text' END,
+            CASE WHEN {gsub(ctc('text'), '[' + text.STANDARD_LETTERS + ' ]', '')} <> '' THEN 'unsupported_alignment_character' END, CASE WHEN alignment_cer > 0.45 THEN 'alignment_cer_above_0.45' END,
+            CASE WHEN lower(pcm_sha256) = sha256('') THEN 'silent_audio' END""") + " AS reasons FROM utterances",
         "quality_gate": "SELECT ordinal, " + reasons(
             duration="NOT coalesce(duration BETWEEN 1 AND 20, false)",
             alignment_wer="NOT coalesce(CAST(human_verified AS BOOLEAN), false) AND (alignment_wer IS NULL OR alignment_wer > 0.55)",
@@ -169,22 +176,20 @@ def oracle_sql() -> dict[str, str]:
             ), links AS (SELECT DISTINCT a.node AS a, b.node AS b FROM (SELECT * FROM e WHERE key IS NOT NULL AND node IS NOT NULL) a JOIN e b USING (key)),
             reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
             SELECT node, min(other) AS component FROM reach GROUP BY node""",
-        "rank_split": f"""WITH {U}, n AS (SELECT name, row_number() OVER (ORDER BY sha256('42:' || name), name) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT speaker_id AS name FROM u WHERE speaker_id IS NOT NULL)),
+        "rank_split": f"""WITH {U}, n AS (SELECT name, row_number() OVER (ORDER BY sha256('42:' || name), name) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(speaker_id, 'None') AS name FROM u)),
             t AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, round_even(n * 0.1, 0)) ELSE round_even(n * 0.1, 0) END AS t FROM n),
             v AS (SELECT *, greatest(0, least(CASE WHEN n - t >= 2 THEN greatest(1, round_even(n * 0.1, 0)) ELSE round_even(n * 0.1, 0) END, n - t - 1)) AS v FROM t)
-            SELECT ordinal, speaker_id, CASE WHEN k <= t THEN 'test' WHEN k <= t + v THEN 'validation' ELSE 'train' END AS split FROM u JOIN v ON speaker_id = name""",
+            SELECT ordinal, speaker_id, CASE WHEN k <= t THEN 'test' WHEN k <= t + v THEN 'validation' ELSE 'train' END AS split FROM u JOIN v ON coalesce(speaker_id, 'None') = name""",
         "strata_split": """WITH g AS (SELECT source_id, string_agg(DISTINCT speaker_id, '|' ORDER BY speaker_id) AS speakers FROM recordings WHERE speaker_id IS NOT NULL GROUP BY source_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY speakers ORDER BY sha256('42:' || source_id), source_id) AS k, count(*) OVER (PARTITION BY speakers) AS n FROM g),
             m AS (SELECT *, greatest(1, round_even(n * 0.1, 0)) AS m FROM r)
             SELECT source_id, speakers, CASE WHEN n < 3 THEN 'train' WHEN k <= m THEN 'test' WHEN k <= 2 * m THEN 'validation' ELSE 'train' END AS split FROM m""",
         "volumes": " UNION ALL ".join(volume(n, s) for n, s in (("025", 0.25), ("050", 0.5), ("075", 0.75))),
-        "asset_holdout": """SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY sha256('42:' || p_partkey), p_partkey) AS k, count(*) OVER () AS n FROM part) WHERE k <= greatest(1, round_even(n * 0.2, 0))""",
+        "asset_holdout": """SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY sha256(p_name), p_name) AS k, count(*) OVER () AS n FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name)) WHERE k <= greatest(1, round_even(n * 0.2, 0))""",
         "matched_sample": """WITH s AS (SELECT source, count(*) AS n FROM (SELECT DISTINCT id, source, needs_review FROM utterances) WHERE needs_review GROUP BY source),
             r AS (SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || id), id) AS k FROM (SELECT DISTINCT id, source FROM utterances))
             SELECT id, source FROM r JOIN s USING (source) WHERE k <= n""",
-        "compose_public": f"""WITH {U}, valid AS (SELECT * FROM u WHERE pcm_sha256 IS NOT NULL AND source IN ({', '.join(map(q, COMPOSITIONS['public']))})), promoted AS (
-                SELECT * REPLACE ((['train', 'validation', 'test'])[max({PRIORITY.format("split")}) OVER (PARTITION BY source_id) + 1] AS split) FROM valid
-            ), kept AS (SELECT *, row_number() OVER (PARTITION BY pcm_sha256 ORDER BY {PRIORITY.format("split")} DESC, ordinal) = 1 AS kept FROM promoted) {STATS}""",
+        "compose_public": composed(f"SELECT * FROM u WHERE source IN ({', '.join(map(q, COMPOSITIONS['public']))})"),
         "composition_readiness": f"""WITH c(composition, source) AS (VALUES {COMPOSED}), h AS (SELECT DISTINCT source FROM utterances)
             SELECT composition, count(*) AS sources, coalesce(string_agg(CASE WHEN h.source IS NULL THEN c.source END, ',' ORDER BY c.source), '') AS missing, count(h.source) = count(*) AS ready
             FROM c LEFT JOIN h ON c.source = h.source GROUP BY composition""",
@@ -213,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey, l_linenumber, coalesce(lag(to_word) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0) AS from_word, to_word FROM e""",
         "vocabulary_by_language": """WITH c AS (SELECT DISTINCT coalesce(language, '?') AS language, unnest(string_split(text, '')) AS character FROM utterances WHERE text IS NOT NULL)
             SELECT language, character, row_number() OVER (PARTITION BY language ORDER BY character) - 1 AS number FROM c WHERE character <> ''""",
-        "ctc_feasible": f"""WITH l AS (SELECT ordinal, {ctc("coalesce(text, '')")} AS label, round_even(duration * 16000, 0) AS n FROM utterances WHERE duration > 0),
+        "ctc_feasible": f"""WITH l AS (SELECT ordinal, {ctc("coalesce(text, '')")} AS label, round_even(CASE WHEN duration > 0 THEN duration ELSE 0 END * 16000, 0) AS n FROM utterances),
             c AS (SELECT *, list_filter(string_split(label, ''), lambda x: x <> '') AS c FROM l),
             f AS (SELECT ordinal, label, CAST(len(c) + coalesce(list_sum(list_transform(range(1, len(c)), lambda k: CASE WHEN c[k] = c[k + 1] THEN 1 ELSE 0 END)), 0) AS BIGINT) AS needed, {frames("n")} AS available FROM c)
             SELECT ordinal, needed, available, label <> '' AND needed <= available AS feasible FROM f""",
@@ -223,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "signal_levels": """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)
             SELECT vec_id, round(list_sum(list_transform(x, lambda v: v * v)), 4) AS energy, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 4) AS rms, round(list_max(list_transform(x, lambda v: abs(v))), 4) AS peak FROM x""",
         "zipped_lines": "SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.l_partkey AS next_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1",
-        "partition_complete": """WITH c AS (SELECT source_id, chunk_id, min(text) AS text FROM utterances WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+        "partition_complete": """WITH c AS (SELECT source_id, chunk_id, coalesce(min(text), '') AS text FROM utterances WHERE chunk_id IS NOT NULL GROUP BY ALL),
             j AS (SELECT source_id, string_agg(text, ' ' ORDER BY chunk_id) AS joined FROM c GROUP BY source_id) SELECT source_id, CAST(length(joined) AS BIGINT) AS chars, sha256(joined) AS digest FROM j""",
         "merge_increment": """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' UNION ALL
             SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""",

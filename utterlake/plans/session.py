@@ -9,7 +9,6 @@ def session(name: str = "utterlake", **conf: str) -> SparkSession:
     """A session with UTC, adaptive plans and, unless set otherwise, all local cores."""
     base = {
         "spark.master": "local[*]",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import io
-import re
+import math
 import wave
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
@@ -66,15 +65,19 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", content: bool =
 
 
 def arrow_streams(spark: SparkSession, folder: str, schema: str, pattern: str = "*.arrow") -> DataFrame:
-    """Rows of Arrow IPC stream files, batch by batch; the files are the unit of work."""
+    """Rows of Arrow IPC stream files, batch by batch; the files are the unit of work and are opened where they are read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for data in batch["content"]:
-                with pa.ipc.open_stream(data.as_buffer()) as reader:
+            for path in batch["path"].to_pylist():
+                system, name = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+                with system.open_input_stream(name) as data, pa.ipc.open_stream(data) as reader:
                     yield from reader
 
-    return files(spark, folder, pattern, content=True).select("content").mapInArrow(read, schema)
+    found = files(spark, folder, pattern).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return found.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(read, schema)
 
 
 def split_of_file(path: Column) -> Column:
@@ -137,21 +140,51 @@ def media_links(page: Column | str) -> Column:
     return F.regexp_extract_all(page, F.lit(r'<(?:audio|source)[^>]*\ssrc="([^"]+)"'), 1)
 
 
+def resampled(samples: np.ndarray, own: int, rate: int, lobes: int = 10, beta: float = 5.0) -> np.ndarray:
+    """Samples at another rate: polyphase filtering by a Kaiser-windowed sinc of unit gain, cut off at the lower of both Nyquist frequencies.
+
+    Output k is the band-limited signal at time k * own / rate; beyond both ends the signal is zero.
+    """
+    common = math.gcd(own, rate)
+    up, down = rate // common, own // common
+    if up == down or not len(samples):
+        return samples
+    half = lobes * max(up, down)
+    taps = np.arange(-half, half + 1)
+    window = np.sinc(taps / max(up, down)) * np.kaiser(2 * half + 1, beta)
+    window *= up / window.sum()
+    n = -(-len(samples) * up // down)
+    out = np.zeros(n)
+    at = np.arange(n) * down
+    # One phase of the filter a turn: all outputs that use it are one product.
+    for phase in range(up):
+        own_out = np.flatnonzero(at % up == phase)
+        if not len(own_out):
+            continue
+        tap = window[(phase + half) % up :: up]
+        first = (at[own_out] + half) // up
+        index = first[:, None] - np.arange(len(tap))[None, :]
+        ok = (index >= 0) & (index < len(samples))
+        out[own_out] = (np.where(ok, samples[np.clip(index, 0, len(samples) - 1)], 0) * tap).sum(1)
+    return out
+
+
 def pcm_of_wave(data: bytes, rate: int = 16_000) -> bytes | None:
-    """16-bit mono samples at one rate of a PCM wave file; null if it can't be read."""
+    """16-bit mono samples at one rate of a PCM wave file of 8, 16, 24 or 32 bits; null if it can't be read."""
     try:
         with wave.open(io.BytesIO(data)) as w:
             channels, width, own, raw = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
     except (wave.Error, EOFError):
         return None
-    if width not in (1, 2, 4):
-        return None
-    samples = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-    samples = (samples - 128) / 128 if width == 1 else samples / float(1 << (8 * width - 1))
-    mono = samples.reshape(-1, channels).mean(axis=1)
-    if own != rate and len(mono):
-        at = np.arange(round(len(mono) * rate / own)) * own / rate
-        mono = np.interp(at, np.arange(len(mono)), mono)
+    if width == 3:
+        # Three bytes a sample become the upper three of four.
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8)[: len(raw) // 3 * 3].reshape(-1, 3)
+        samples = wide.view("<i4").ravel() / float(1 << 31)
+    else:
+        samples = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
+        samples = (samples - 128) / 128 if width == 1 else samples / float(1 << (8 * width - 1))
+    mono = resampled(samples[: len(samples) // channels * channels].reshape(-1, channels).mean(axis=1), own, rate)
     return np.rint(np.clip(mono, -1, 1 - 1 / 32768) * 32768).astype("<i2").tobytes()
 
 
@@ -186,23 +219,22 @@ def pcm_slice(pcm: Column | str, start: Column, end: Column) -> Column:
     return F.substring(pcm, (start * 2 + 1).cast("int"), ((end - start) * 2).cast("int"))
 
 
-# Patterns of recordings by corpus.
 def recording_of(source: str, path: Column) -> Column:
-    """The recording a clip belongs to, by the corpus it comes from."""
+    """The recording a clip belongs to, by the corpus it comes from, with the corpus before it."""
     name = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
     if source == "ganjoor":
-        return F.regexp_replace(name, "_chunk_.*$", "")
-    if source == "filimo":
-        return F.when(name.rlike(r"^\d{10}$"), F.substring(name, 1, 5)).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1))
-    if source == "seniortalk":
-        prefix = F.regexp_extract(name, r"^(Elderly\d+)(S\d+)", 0)
-        return F.when(prefix != "", prefix).otherwise(name)
-    return name
-
-
-def parent(path: str) -> str:
-    return str(PurePosixPath(path).parent)
-
-
-def script_name(text: str) -> bool:
-    return bool(re.search(r"\.(xml|js)$", text))
+        group = F.regexp_replace(name, "_chunk_.*$", "")
+    elif source == "filimo":
+        group = F.when(name.rlike(r"^\d{10}$"), F.substring(name, 1, 5)).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1))
+    elif source == "seniortalk":
+        # The recording is the first group alone: both speakers of one are one recording.
+        group = F.coalesce(F.nullif(F.regexp_extract(name, r"^(Elderly\d+)(S\d+)", 1), F.lit("")), name)
+    else:
+        group = name
+    return F.concat(F.lit(f"{source}:"), group)
+
+
+def speaker_of(path: Column) -> Column:
+    """The speaker in a two-part clip name, or unknown."""
+    name = F.regexp_extract(path, r"[^/]*$", 0)
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(Elderly\d+)(S\d+)", 2), F.lit("")), F.lit("unknown"))

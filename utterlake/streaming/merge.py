@@ -16,10 +16,9 @@ def merge_stream(stream: DataFrame, target: str, key: str, checkpoint: str) -> S
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         first = batch.dropDuplicates([key])
-        try:
-            old = spark.read.parquet(target).select(key)
-        except Exception:  # nothing was written yet
-            old = None
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        old = spark.read.parquet(target).select(key) if there else None
         (first if old is None else first.join(old, key, "left_anti")).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
