@@ -91,3 +91,38 @@ def test_stream_counts_equal_batch(spark, folder, tmp_path):
     batch = merge.delivery_counts(spark.read.parquet(f"{folder}/utterances.parquet").withColumn("ingested_at", F.col("ingested_at").cast("timestamp")))
     pick = lambda df: sorted((r.day, r.source, r.rows) for r in df.collect())
     assert pick(spark.table("counts")) == pick(batch)
+
+
+@pytest.mark.parametrize(("own", "rate"), [(44_100, 16_000), (48_000, 16_000), (8_000, 16_000), (22_050, 16_000)])
+def test_resampling(own, rate):
+    t = np.arange(own) / own
+    low = 0.5 * np.sin(2 * np.pi * 440 * t)
+    got = readers.resampled(low, own, rate)
+    want = 0.5 * np.sin(2 * np.pi * 440 * np.arange(len(got)) / rate)
+    assert len(got) == rate and np.abs(got - want)[200:-200].max() < 2e-3
+    if own > 2 * 10_000:  # a tone above the new Nyquist frequency goes instead of coming back as another tone
+        assert np.abs(readers.resampled(np.sin(2 * np.pi * 9_900 * t), own, rate))[200:-200].max() < 0.02
+    # The same as the filter written out for each output.
+    x = np.random.default_rng(3).standard_normal(60)
+    g = np.gcd(own, rate)
+    up, down = rate // g, own // g
+    half = 10 * max(up, down)
+    window = np.sinc(np.arange(-half, half + 1) / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    window *= up / window.sum()
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    whole = np.convolve(stuffed, window)[half:]
+    assert np.allclose(readers.resampled(x, own, rate), whole[: len(x) * up : down][: -(-len(x) * up // down)])
+
+
+def test_wave_of_24_bits():
+    import io
+    import wave
+
+    samples = np.array([0, 1 << 22, -(1 << 23), (1 << 23) - 1])
+    raw = b"".join(int(x).to_bytes(3, "little", signed=True) for x in samples)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((1, 3, 16_000, 0, "NONE", ""))
+        w.writeframes(raw)
+    assert np.frombuffer(readers.pcm_of_wave(out.getvalue()), "<i2").tolist() == [0, 1 << 14, -(1 << 15), (1 << 15) - 1]
