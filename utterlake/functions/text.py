@@ -126,6 +126,14 @@ def prompt(language: Column | str, text: Column | str) -> Column:
     return F.concat(F.lit("language "), col(language), F.lit("<asr_text>"), col(text))
 
 
+def chat_prefix(prompt_text: Column | str = "", language: Column | None = None) -> Column:
+    """What a speech model is given before the label: the system prompt, the place of the audio, and the assistant's turn."""
+    system = F.coalesce(col(prompt_text), F.lit("")) if isinstance(prompt_text, Column) else F.lit(prompt_text)
+    # The marks of turns and of audio.
+    head, mid = F.lit("<|im_start|>system\n"), F.lit("<|im_end|>\n<|im_start|>user\n<|audio_start|><|audio_pad|><|audio_end|><|im_end|>\n<|im_start|>assistant\n")
+    return F.concat(head, system, mid) if language is None else F.concat(head, system, mid, F.lit("language "), language, F.lit("<asr_text>"))
+
+
 def safe_id(c: Column | str) -> Column:
     """A name fit for files: other characters as one underscore, none outside; `recording` if nothing is left."""
     name = F.regexp_replace(F.regexp_replace(squeeze(col(c)), r"[^0-9A-Za-z\x{0600}-\x{06ff}_-]+", "_"), "^_+|_+$", "")

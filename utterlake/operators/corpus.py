@@ -112,12 +112,26 @@ def cache_hits(rows: DataFrame, keys: list[str]) -> DataFrame:
     return n.agg(F.sum("n").alias("requests"), F.count("*").alias("predicted"), (F.sum("n") - F.count("*")).alias("reused"))
 
 
-def noise_plan(rows: DataFrame, key: str, conditions: list[str], assets: int, seed: str = "42") -> DataFrame:
-    """Each row under each noise condition with its seed and the number of its asset."""
+def noise_plan(rows: DataFrame, key: str, conditions: list[str], backgrounds: int, rooms: int, seed: str = "42") -> DataFrame:
+    """Each row under each noise condition with its seed, the signal-to-noise ratio, and the numbers of its background and room where the condition has one."""
     each = rows.select(key, F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"))
     digest = F.sha2(F.concat_ws(":", F.col(key), F.col("condition"), F.lit(seed)), 256)
-    return each.withColumn("seed", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).withColumn("asset", F.col("seed") % assets)
-
+    noisy = F.col("condition").startswith("snr") | (F.col("condition") == "combined")
+    ratio = F.when(F.col("condition").startswith("snr"), F.substring("condition", 4, 9).try_cast("int")).when(F.col("condition") == "combined", 10)
+    return each.withColumn("seed", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).withColumns({
+        "snr": ratio, "background": F.when(noisy, F.col("seed") % backgrounds), "room": F.when(F.col("condition").isin("rir", "combined"), F.col("seed") % rooms)
+    })
+
+
+def noise_audit(originals: DataFrame, noisy: DataFrame, key: str, fields: list[str], conditions: list[str]) -> DataFrame:
+    """Per condition its rows, originals without one, rows without or with more than one original, and rows whose fields differ from their original's."""
+    each = originals.select(key, F.struct(*fields).alias("_a"), F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"))
+    n = noisy.groupBy(key, "condition").agg(F.count("*").alias("_n"), F.min(F.struct(*fields)).alias("_b"), F.max(F.struct(*fields)).alias("_c"))
+    joined = each.join(n, [key, "condition"], "full")
+    return joined.groupBy("condition").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("samples"), F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull() | (F.col("_n") > 1)).alias("unknown"),
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (~F.col("_a").eqNullSafe(F.col("_b")) | ~F.col("_a").eqNullSafe(F.col("_c")))).alias("changed"),
+    )
 
 def equal_sets(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Counts of a full comparison: keys on one side only, and keys whose fields differ."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import col, normalize_eval, squeeze
+from ..functions.text import col, normalize_eval, squeeze, standardize
 
 # Answers that approve a review.
 APPROVED = ["1", "true", "yes", "y", "بله", "تایید", "تأیید"]
@@ -113,9 +113,29 @@ def label_frames(text: Column | str) -> Column:
     return F.when(F.length(col(text)) == 0, 0).otherwise(F.size(chars) + repeats).cast("bigint")
 
 
-def ctc_feasible(rows: DataFrame, text: str, rate: int = 16_000) -> DataFrame:
-    """Add needed and available frames and feasible; an empty label is not feasible."""
-    ready = rows.withColumns({"needed": label_frames(text), "available": conv_frames(F.bround(F.col("duration") * rate))})
+def valid_item(duration: Column | str, text: Column | str) -> Column:
+    """Longer than 2 s and at most 10 s, with more than 5 characters in standard form."""
+    return F.coalesce((col(duration) > 2) & (col(duration) <= 10) & (F.length(standardize(text)) > 5), F.lit(False))
+
+
+def analysable(pcm: Column | str, rate: int = 16_000, most: float = 60) -> Column:
+    """Why an upload is not analysed, or null: it is empty, longer than most seconds, or silent."""
+    size = F.octet_length(pcm)
+    silent = F.length(F.regexp_replace(F.hex(pcm), "^(00)+$", "")) == 0
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size / F.lit(2.0 * rate) > most, "too long").when(silent, "silent")
+
+
+def feasible_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows before and after the feasibility check, excluded ones and empty labels, from ctc_feasible()."""
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("before"), F.count_if("feasible").alias("kept"), F.count_if(~F.col("feasible")).alias("excluded"), F.count_if(F.col("needed") == 0).alias("empty")
+    )
+
+
+def ctc_feasible(rows: DataFrame, text: str, rate: int = 16_000, mask_length: int = 0) -> DataFrame:
+    """Add needed and available frames and feasible; an empty label is not feasible; masking needs mask_length frames at least."""
+    frames = F.when(label_frames(text) > 0, F.greatest(label_frames(text), F.lit(mask_length))).otherwise(0).cast("bigint")
+    ready = rows.withColumns({"needed": frames, "available": conv_frames(F.bround(F.col("duration") * rate))})
     return ready.withColumn("feasible", (F.length(text) > 0) & F.coalesce(F.col("needed") <= F.col("available"), F.lit(False)))
 
 

@@ -133,8 +133,115 @@ LEAKS = " UNION ALL ".join(
 JOB_VALUES = ", ".join(f"({q(i)}, {q(s)}, {p}, {d}::VARCHAR[])" for i, s, p, d in JOBS)
 
 
+STEM = "regexp_replace(regexp_extract({}, '[^/]*$'), '(.)\\.[^.]*$', '\\1')"
+HASHED = "CASE WHEN ('0x' || substr(sha256('42:' || {0}), 1, 12))::BIGINT % 100 < 10 THEN 'test' WHEN ('0x' || substr(sha256('42:' || {0}), 1, 12))::BIGINT % 100 < 20 THEN 'validation' ELSE 'train' END"
+VERIFIED = "coalesce(lower(trim({})) IN ('speaker_1', '1'), false)"
+
+
+def adapter_sql() -> str:
+    name = STEM.format("audio")
+    or_unknown = lambda x: f"coalesce(nullif({x}, ''), 'unknown')"
+    ganjoor = f"'ganjoor:' || regexp_replace({name}, '_chunk_.*$', '')"
+    filimo = f"'filimo:' || CASE WHEN regexp_full_match({name}, '[0-9]{{10}}') THEN substr({name}, 1, 5) ELSE regexp_extract(audio, '([^/]+)/[^/]*$', 1) END"
+    senior = f"'seniortalk:' || coalesce(nullif(regexp_extract({name}, '^(Elderly[0-9]+)(S[0-9]+)', 1), ''), {name})"
+    kinds = {
+        "elderly": (f"'elderly_' || {name}", "'elderly:' || regexp_replace(source_id, '^elderly:', '')", or_unknown("speaker_id"), "Persian", f"last(split ORDER BY ordinal) OVER (PARTITION BY {name})", VERIFIED.format(or_unknown("speaker_id")), 0.25, 30),
+        "ganjoor": ("'ganjoor_' || lpad(CAST(ordinal AS VARCHAR), CAST(greatest(6, length(CAST(ordinal AS VARCHAR))) AS INTEGER), '0')", ganjoor, or_unknown(squeeze("speaker_id")), "Persian", HASHED.format(f"({ganjoor})"), "false", 2, 20),
+        "filimo": (f"'filimo_' || {name}", filimo, "'unknown'", "Persian", HASHED.format(f"({filimo})"), "false", 2, 20),
+        "mozilla": (f"'mozilla_' || {name}", f"'mozilla:' || {name}", or_unknown("speaker_id"), "Persian", "split", "false", 2, 20),
+        "seniortalk": (f"'seniortalk_' || {name}", senior, f"coalesce(nullif(regexp_extract({name}, '^(Elderly[0-9]+)(S[0-9]+)', 2), ''), 'unknown')", "Chinese", "split", "false", 0.25, 30),
+    }
+    one = lambda s, k: f"SELECT {k[0]} AS id, {k[1]} AS source_id, {k[2]} AS speaker_id, '{k[3]}' AS language, {k[4]} AS split, {k[5]} AS human_verified, CAST({k[6]} AS DOUBLE) AS least, CAST({k[7]} AS DOUBLE) AS most FROM utterances WHERE source = '{s}'"
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(one(s, k) for s, k in kinds.items()) + ")"
+
+
+def drawn(group: str) -> str:
+    return f"('0x' || substr(sha256(id || ':{group}:42'), 1, 8))::BIGINT / 4294967296.0"
+
+
+COMPONENTS = """e AS (SELECT DISTINCT source_id AS node, unnest(['audio:' || audio_sha256, 'text:' || text_sha256]) AS key FROM recordings),
+    links AS (SELECT DISTINCT a.node AS a, b.node AS b FROM (SELECT * FROM e WHERE key IS NOT NULL AND node IS NOT NULL) a JOIN e b USING (key)),
+    reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+    tied AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+def more_sql() -> dict[str, str]:
+    chosen = [volume(n, s).replace(f"'{n}' AS volume", "1") for n, s in (("025", 0.25), ("050", 0.5), ("075", 0.75))]
+    public = ", ".join(map(q, COMPOSITIONS["public"]))
+    volumes = [
+        f"SELECT '{n}' AS volume, * FROM (" + composed(f"SELECT * FROM u WHERE source IN ({public}) OR (source = 'elderly' AND (split <> 'train' OR id IN (SELECT id FROM ({c}))))") + ")"
+        for n, c in zip(("025", "050", "075"), chosen)
+    ]
+    pair = f"regexp_replace(regexp_replace(lower({{}}), '^(voice|audio|recording|text|transcript)[-_ ]*', ''), '[^0-9a-z{chr(0x600)}-{chr(0x6FF)}]+', '', 'g')"
+    key = lambda x: f"coalesce(nullif({pair.format(x)}, ''), lower({x}))"
+    bare = lambda x: f"regexp_replace({x}, '\\.[^./]*$', '')"
+    label = ctc("coalesce(text, '')")
+    named = "CASE lower(language) WHEN 'fa' THEN 'Persian' WHEN 'zh' THEN 'Chinese' WHEN 'zh-cn' THEN 'Chinese' WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' ELSE language END"
+    left = ["background", "gain", "pause", "distortion", "frequency"]
+    chance = {"background": 0.75, "gain": 0.8, "pause": 0.7, "distortion": 0.8, "frequency": 0.8}
+    odd = "[<>&\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{2028}\\x{2029}]"
+    return {
+        "adapter_rows": adapter_sql(),
+        "materialize_rows": f"""WITH r AS (SELECT id, CASE WHEN sentence IS NULL THEN 'decode' WHEN NOT octet_length(encode(sentence)) / 32000.0 BETWEEN 0.002 AND 0.008 THEN 'duration' WHEN {blank('text')} THEN 'empty_text' END AS reason, sha256(sentence) AS digest FROM utterances),
+            f AS (SELECT id AS own, min(digest) AS first FROM r WHERE reason IS NULL GROUP BY id),
+            t AS (SELECT id, coalesce(reason, CASE WHEN digest <> first THEN 'id_collision' END) AS reason, digest FROM r LEFT JOIN f ON id = own)
+            SELECT DISTINCT id, NULL AS reason, digest AS pcm_sha256, 1::BIGINT AS rows FROM t WHERE reason IS NULL UNION ALL SELECT id, reason, NULL, count(*) FROM t WHERE reason IS NOT NULL GROUP BY id, reason""",
+        "validation_checks": f"""WITH c AS (SELECT audio IS NOT NULL AS a, {evaluated('text')} <> '' AS t, duration BETWEEN 1 AND 16 AS d, NOT CAST(needs_review AS BOOLEAN) AS r, CAST(human_verified AS BOOLEAN) = {VERIFIED.format('speaker_id')} AS v,
+                abs(original_end - original_start - duration) < 1e-6 AS s FROM utterances)
+            SELECT unnest(['audio', 'text', 'duration', 'reviewed', 'verified', 'stretch']) AS "check", unnest([count(*) FILTER (WHERE NOT coalesce(a, false)), count(*) FILTER (WHERE NOT coalesce(t, false)), count(*) FILTER (WHERE NOT coalesce(d, false)),
+                count(*) FILTER (WHERE NOT coalesce(r, false)), count(*) FILTER (WHERE NOT coalesce(v, false)), count(*) FILTER (WHERE NOT coalesce(s, false))]) AS violations FROM c""",
+        "shared_split_keys": f"WITH {U} " + " UNION ALL ".join(f"SELECT '{k}' AS key, {k} AS value FROM u WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(DISTINCT split) > 1" for k in ("source_id", "pcm_sha256", "speaker_id")),
+        "final_export": f"""WITH RECURSIVE {COMPONENTS},
+            g AS (SELECT ordinal, source_id, speaker_id, pcm_sha256, {REASONS.format(f"CASE WHEN NOT coalesce(duration BETWEEN 1 AND 16, false) THEN 'duration_outside_1_16_seconds' END, CASE WHEN coalesce({evaluated('text')}, '') = '' THEN 'empty_normalized_text' END, CASE WHEN alignment_cer > 0.45 THEN 'alignment_cer_above_0.45' END")} AS reasons FROM utterances),
+            k AS (SELECT *, reasons = '' AND (pcm_sha256 IS NULL OR row_number() OVER (PARTITION BY pcm_sha256, reasons = '' ORDER BY ordinal) = 1) AS kept FROM g),
+            a AS (SELECT k.*, coalesce(component, source_id) AS split_group FROM k LEFT JOIN tied ON source_id = node WHERE kept),
+            s AS (SELECT split_group, string_agg(DISTINCT coalesce(speaker_id, 'None'), '|' ORDER BY coalesce(speaker_id, 'None')) AS speakers FROM a GROUP BY split_group),
+            r AS (SELECT *, row_number() OVER (PARTITION BY speakers ORDER BY sha256('42:' || split_group), split_group) AS place, count(*) OVER (PARTITION BY speakers) AS n FROM s),
+            m AS (SELECT *, greatest(1, round_even(n * 0.1, 0)) AS m FROM r)
+            SELECT ordinal, a.split_group, CASE WHEN n < 3 THEN 'train' WHEN place <= m THEN 'test' WHEN place <= 2 * m THEN 'validation' ELSE 'train' END AS split, reasons FROM a JOIN m USING (split_group)
+            UNION ALL SELECT ordinal, NULL, NULL, CASE WHEN reasons = '' THEN 'duplicate_pcm' ELSE reasons END FROM k WHERE NOT kept""",
+        "dataset_projection": "SELECT audio, sentence, speaker_id, source_id, chunk_id, CAST(NULL AS DOUBLE) AS start, CAST(NULL AS DOUBLE) AS \"end\", duration, asr_prediction, alignment_wer, alignment_method, CAST(human_verified AS BOOLEAN) AS human_verified FROM utterances",
+        "pairs_two_tier": f"""WITH r AS (SELECT DISTINCT source, audio FROM recordings), same AS (SELECT DISTINCT {bare('audio')} AS b, {bare('audio')} || '.txt' AS path FROM r WHERE source IN ('mozilla', 'filimo')),
+            t AS (SELECT path FROM same UNION SELECT 'texts/Text_' || {STEM.format('audio')} || '.srt' FROM r WHERE source IN ('elderly', 'ganjoor')),
+            k AS (SELECT {key(STEM.format('path'))} AS key, count(DISTINCT path) AS n, min(path) AS path FROM t GROUP BY 1),
+            j AS (SELECT audio, same.path AS own, k.path AS other, CASE WHEN same.path IS NOT NULL THEN 1 ELSE coalesce(k.n, 0) END AS n FROM (SELECT DISTINCT audio FROM r) LEFT JOIN same ON {bare('audio')} = b LEFT JOIN k ON {key(STEM.format('audio'))} = key)
+            SELECT audio, CASE WHEN n = 1 THEN coalesce(own, other) END AS text, CASE WHEN n <> 1 THEN n || ' matching texts' END AS problem FROM j""",
+        "path_candidates": """WITH u AS (SELECT ordinal, audio, 'portable/' || regexp_extract(audio, '[^/]*$') AS p, CAST(human_verified AS BOOLEAN) AS v, CAST(needs_review AS BOOLEAN) AS n FROM utterances),
+            f AS (SELECT p AS path FROM u WHERE v UNION SELECT audio FROM u WHERE n)
+            SELECT ordinal, CASE WHEN p IN (SELECT path FROM f) THEN p WHEN audio IN (SELECT path FROM f) THEN audio ELSE p END AS found FROM u""",
+        "valid_items": f"SELECT ordinal FROM utterances WHERE duration > 2 AND duration <= 10 AND length({standard('sentence')}) > 5",
+        "chat_prefixes": f"SELECT ordinal, '<|im_start|>system' || chr(10) || coalesce(source, '') || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '<|audio_start|><|audio_pad|><|audio_end|><|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'language ' || {named} || '<asr_text>' AS prefix FROM utterances",
+        "percent_slice": "SELECT ordinal FROM utterances WHERE ordinal - (SELECT min(ordinal) FROM utterances) < round_even((SELECT count(*) FROM utterances) * 0.9, 0)",
+        "ctc_feasible_counts": f"""WITH {U}, l AS (SELECT split, {label} AS label, round_even(CASE WHEN duration > 0 THEN duration ELSE 0 END * 16000, 0) AS n FROM u), c AS (SELECT *, list_filter(string_split(label, ''), lambda x: x <> '') AS c FROM l),
+            f AS (SELECT split, CASE WHEN len(c) > 0 THEN greatest(10, len(c) + coalesce(list_sum(list_transform(range(1, len(c)), lambda k: CASE WHEN c[k] = c[k + 1] THEN 1 ELSE 0 END)), 0)) ELSE 0 END AS needed, {frames("n")} AS available FROM c),
+            g AS (SELECT split, needed, coalesce(needed > 0 AND needed <= available, false) AS ok FROM f)
+            SELECT split, count(*) AS before, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS excluded, count(*) FILTER (WHERE needed = 0) AS empty FROM g GROUP BY split""",
+        "split_speakers": f"WITH {U} SELECT split, sha256(coalesce(string_agg(DISTINCT speaker_id, '|' ORDER BY speaker_id), '')) AS speakers, count(DISTINCT speaker_id) AS n FROM u GROUP BY split",
+        "noise_audit": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at, ordinal) AS a, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, ordinal DESC) AS z FROM utterances WHERE source = 'seniortalk' AND id IS NOT NULL),
+            j AS (SELECT o.id, o.text IS DISTINCT FROM n.text OR o.source_id IS DISTINCT FROM n.source_id OR o.pcm_sha256 IS DISTINCT FROM n.pcm_sha256 AS changed FROM f o JOIN f n ON o.id = n.id AND o.a = 1 AND n.z = 1)
+            SELECT unnest(['snr20', 'snr10', 'snr5', 'rir', 'channel', 'combined']) AS condition, count(*) AS samples, 0::BIGINT AS missing, 0::BIGINT AS unknown, count(*) FILTER (WHERE changed) AS changed FROM j""",
+        "augmentation_plan": f"""WITH {U} SELECT ordinal, split = 'train' AS apply_augmentation, CASE WHEN split = 'train' AND {drawn('any')} < 0.5
+            THEN array_to_string(list_filter([{', '.join(f"CASE WHEN {drawn(g)} < {chance[g]} THEN '{g}' END" for g in left)}], lambda x: x IS NOT NULL), ',') ELSE '' END AS augmentation FROM u WHERE id IS NOT NULL""",
+        "eval_suites": """WITH u AS (SELECT source, CASE WHEN duration > 0 THEN duration END AS d, asr_prediction, ordinal > min(ordinal) OVER (PARTITION BY id) AS cached FROM utterances WHERE id IS NOT NULL)
+            SELECT source, count(*) AS samples, count(*) FILTER (WHERE asr_prediction IS NULL) AS failures, count(*) FILTER (WHERE cached) AS reused_predictions, CASE WHEN NOT bool_or(cached) THEN round(sum(d * 0.1) / sum(d), 6) END AS real_time_factor FROM u GROUP BY source""",
+        "volume_stats": " UNION ALL ".join(volumes),
+        "mean_confidence": "SELECT vec_id, round(list_avg(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) + 0.0 AS confidence FROM embeddings",
+        "unknown_recordings": f"WITH {U} SELECT DISTINCT source_id FROM u WHERE split = 'test' AND source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM recordings WHERE source_id IS NOT NULL)",
+        "page_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split({gsub('text', odd, '')}, chr(10))) AS line, generate_subscripts(string_split({gsub('text', odd, '')}, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+            s AS (SELECT doc_id, k, {gsub('line', f'^{WS}+|{WS}+$', '')} AS line FROM l)
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS verse, sha256(line) AS digest FROM s WHERE line <> ''""",
+        "substring_offsets": """WITH p AS (SELECT source_id, chunk_id, coalesce(min(text), '') AS text, min(text) AS raw, min(sentence) AS sentence FROM utterances WHERE chunk_id IS NOT NULL GROUP BY ALL),
+            w AS (SELECT source_id, string_agg(text, ' ' ORDER BY chunk_id) AS whole FROM p GROUP BY source_id), h AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS k FROM p)
+            SELECT h.source_id, chunk_id FROM h LEFT JOIN w ON h.source_id = w.source_id WHERE k = 1 AND (whole IS NULL OR substr(whole, 1, length(text)) IS DISTINCT FROM sentence)""",
+        "prompt_places": "SELECT ordinal FROM utterances WHERE text IS NULL OR sentence IS DISTINCT FROM text",
+        "aligned_lines": """WITH l AS (SELECT l_orderkey, l_linenumber AS place, min(CAST(l_partkey AS VARCHAR)) AS text, max(l_quantity) AS q FROM lineitem GROUP BY ALL), s AS (SELECT l_orderkey, count(*) - 1 AS texts, max(place) AS last, count(*) FILTER (WHERE q > 10) AS chunks FROM l GROUP BY l_orderkey)
+            SELECT l.l_orderkey, place, CASE WHEN place < last THEN text END AS text, CASE WHEN q > 10 THEN 'chunk_' || place END AS audio, CASE WHEN texts <> chunks THEN texts || ' texts, ' || chunks || ' chunks' END AS problem FROM l JOIN s USING (l_orderkey) WHERE place < last OR q > 10""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        **more_sql(),
         "manifest_training": "SELECT audio, text, coalesce(nullif(language, ''), 'Persian') AS language, '' AS prompt, coalesce(duration, 0.0) AS duration FROM utterances WHERE text IS NOT NULL",
         "latest_delivery": "SELECT id, ingested_at, ordinal FROM (SELECT id, ingested_at, ordinal, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, ordinal DESC) AS k FROM utterances) WHERE k = 1",
         "prompt_text": "SELECT ordinal, language, 'language ' || language || '<asr_text>' || text AS text FROM utterances",
@@ -238,7 +345,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, priority FROM j WHERE status = 'pending' AND id NOT IN (
                 SELECT id FROM (SELECT id, unnest(dependencies) AS d FROM j) WHERE d NOT IN (SELECT id FROM j WHERE status = 'complete'))""",
         "noise_plan": """WITH r AS (SELECT id, unnest(['snr20', 'snr10', 'snr5', 'rir', 'channel', 'combined']) AS condition FROM (SELECT DISTINCT id FROM utterances WHERE source = 'seniortalk')),
-            s AS (SELECT id, condition, ('0x' || substr(sha256(id || ':' || condition || ':42'), 1, 8))::BIGINT AS seed FROM r) SELECT id, condition, seed, seed % 37 AS asset FROM s""",
+            s AS (SELECT id, condition, ('0x' || substr(sha256(id || ':' || condition || ':42'), 1, 8))::BIGINT AS seed FROM r)
+            SELECT id, condition, seed, CASE condition WHEN 'snr20' THEN 20 WHEN 'snr10' THEN 10 WHEN 'snr5' THEN 5 WHEN 'combined' THEN 10 END AS snr,
+                CASE WHEN condition IN ('snr20', 'snr10', 'snr5', 'combined') THEN seed % 37 END AS background, CASE WHEN condition IN ('rir', 'combined') THEN seed % 11 END AS room FROM s""",
         "prediction_cache": "WITH n AS (SELECT audio, language, count(*) AS n FROM utterances GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS predicted, CAST(sum(n) - count(*) AS BIGINT) AS reused FROM n",
         "equal_sets": """WITH a AS (SELECT source_id, min(source) AS s FROM utterances GROUP BY source_id), b AS (SELECT source_id, min(source) AS s FROM recordings GROUP BY source_id)
             SELECT count(*) FILTER (WHERE b.source_id IS NULL) AS left_only, count(*) FILTER (WHERE a.source_id IS NULL) AS right_only, count(*) FILTER (WHERE a.source_id IS NOT NULL AND b.source_id IS NOT NULL AND a.s IS DISTINCT FROM b.s) AS differ

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, metrics, text
-from ..operators import corpus, dedup, filters, graph, segments, splits
+from ..operators import augment, corpus, dedup, filters, graph, prepare, segments, splits, validate
+from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,7 +277,7 @@ def region_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def overlap_check(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "utterances").where("original_start is not null").groupBy("source_id", "id").agg(F.min("original_start").alias("start"), F.min("original_end").alias("end"))
-    return filters.overlap_violations(rows.withColumn("order", F.struct("start", "id")), "source_id", "order").select("source_id", "id", "end", "next_start")
+    return validate.next_in_blocks(rows, "source_id", "start", "id", 600.0).where(F.col("end") > F.col("next_start") + 1e-6).select("source_id", "id", "end", "next_start")
 
 
 @query
@@ -346,10 +347,13 @@ def runnable_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.runnable(spark.createDataFrame(JOBS, "id string, status string, priority int, dependencies array<string>")).select("id", "priority")
 
 
+CONDITIONS = ["snr20", "snr10", "snr5", "rir", "channel", "combined"]
+
+
 @query
 def noise_plan(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "utterances").where("source = 'seniortalk'").select("id").distinct()
-    return corpus.noise_plan(rows, "id", ["snr20", "snr10", "snr5", "rir", "channel", "combined"], 37)
+    return corpus.noise_plan(rows, "id", CONDITIONS, 37, 11)
 
 
 @query
@@ -390,3 +394,185 @@ def align_beam(spark: SparkSession, folder: str) -> DataFrame:
     whole = corpus.joined_text(parts, "source_id", "chunk_id", "text")
     chunks = parts.withColumn("chunk", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint")).join(whole, "source_id")
     return segments.align_chunks(chunks.select(F.col("source_id").alias("recording"), "chunk", "prediction", "duration", F.col("joined").alias("transcript")))
+
+
+@query
+def adapter_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every corpus in the uniform form."""
+    u = table(spark, folder, "utterances").select("ordinal", "audio", "text", F.regexp_replace("source_id", "^elderly:", "").alias("source_id"), "speaker_id", "split", "source")
+    parts = [prepare.source_rows(u.where(F.col("source") == s).drop("source"), s, u.where(F.col("source") == s).select("audio", "split", "ordinal")) for s in prepare.SOURCES]
+    return corpus.union(parts).select("id", "source_id", "speaker_id", "language", "split", "human_verified", "least", "most").distinct()
+
+
+@query
+def materialize_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Materialised rows and rejected ones; the bytes of the sentence stand for decoded audio."""
+    u = table(spark, folder, "utterances").select("id", "text", "source", F.encode("sentence", "UTF-8").alias("pcm"), F.lit(0.002).alias("least"), F.lit(0.008).alias("most"))
+    good, bad = prepare.materialize(u)
+    kept = good.select("id", F.lit(None).cast("string").alias("reason"), "pcm_sha256", F.lit(1).cast("bigint").alias("rows"))
+    return kept.unionByName(bad.groupBy("id", "reason").agg(F.count("*").alias("rows")), allowMissingColumns=True)
+
+
+@query
+def validation_checks(spark: SparkSession, folder: str) -> DataFrame:
+    u = utterances(spark, folder, "audio", "text", "duration", "needs_review", "human_verified", "speaker_id", "original_start", "original_end")
+    return validate.conditions_hold({
+        "audio": F.col("audio").isNotNull(), "text": text.normalize_eval("text", compose=False) != "", "duration": F.col("duration").between(1, 16), "reviewed": ~F.col("needs_review").cast("boolean"),
+        "verified": F.col("human_verified").cast("boolean") == filters.human_verified("speaker_id"), "stretch": F.abs(F.col("original_end") - F.col("original_start") - F.col("duration")) < 1e-6,
+    }, u)
+
+
+@query
+def shared_split_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.shared_keys(utterances(spark, folder, "source_id", "pcm_sha256", "speaker_id"), ["source_id", "pcm_sha256", "speaker_id"])
+
+
+@query
+def final_export(spark: SparkSession, folder: str) -> DataFrame:
+    rows = filters.all_reasons(utterances(spark, folder, "text", "duration", "alignment_cer", "source_id", "speaker_id", "pcm_sha256").drop("split"), compose=False)
+    r = table(spark, folder, "recordings").select("source_id", "audio_sha256", "text_sha256")
+    done = prepare.final_export(rows.select("ordinal", "source_id", "speaker_id", "pcm_sha256", "reasons"), r)
+    return done.select("ordinal", "split_group", "split", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def dataset_projection(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.dataset_columns(table(spark, folder, "utterances").withColumn("human_verified", F.col("human_verified").cast("boolean")))
+
+
+@query
+def pairs_two_tier(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings with their texts: files of some corpora lie beside the audio, of others in a folder of their own, of seniortalk nowhere."""
+    r = table(spark, folder, "recordings").select("source", F.col("audio").alias("path")).distinct()
+    bare = F.regexp_replace("path", r"\.[^./]*$", "")
+    beside = r.where("source in ('mozilla', 'filimo')").select(F.concat(bare, F.lit(".txt")).alias("path"))
+    apart = r.where("source in ('elderly', 'ganjoor')").select(F.concat(F.lit("texts/Text_"), text.stem("path"), F.lit(".srt")).alias("path"))
+    return prepare.two_tier_pairs(r.select("path"), beside.unionByName(apart))
+
+
+@query
+def path_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Clips at the first place that has them: a portable folder for verified ones, their own place for those to be reviewed."""
+    u = table(spark, folder, "utterances").select("ordinal", "audio", F.col("human_verified").cast("boolean").alias("v"), F.col("needs_review").cast("boolean").alias("n"))
+    files = u.where("v").select(text.relocate("audio", "portable").alias("path")).unionByName(u.where("n").select(F.col("audio").alias("path")))
+    places = {"portable": text.relocate("audio", "portable"), "own": F.col("audio")}
+    return prepare.first_existing(u.select("ordinal", "audio"), files, places, "found").select("ordinal", "found")
+
+
+@query
+def valid_items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "utterances").where(filters.valid_item("duration", "sentence")).select("ordinal")
+
+
+@query
+def chat_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    u = table(spark, folder, "utterances").select("ordinal", "source", text.language_name("language").alias("name"))
+    return u.select("ordinal", text.chat_prefix(F.col("source"), F.col("name")).alias("prefix"))
+
+
+@query
+def percent_slice(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "utterances").select("ordinal")
+    least = o.agg(F.min("ordinal")).first()[0] or 0
+    return o.where(splits.ordinal_slice(o.withColumn("_n", F.col("ordinal") - least), "ordinal", 0.9) if least == 0 else F.col("ordinal") - least < round(o.count() * 0.9))
+
+
+@query
+def ctc_feasible_counts(spark: SparkSession, folder: str) -> DataFrame:
+    u = utterances(spark, folder, "text", "duration")
+    rows = u.select("split", F.coalesce(F.when(F.col("duration") > 0, F.col("duration")), F.lit(0.0)).alias("duration"), text.normalize_ctc(F.coalesce("text", F.lit(""))).alias("label"))
+    return filters.feasible_counts(filters.ctc_feasible(rows, "label", mask_length=10), "split")
+
+
+@query
+def split_speakers(spark: SparkSession, folder: str) -> DataFrame:
+    u = utterances(spark, folder, "speaker_id").groupBy("split").agg(F.array_sort(F.collect_set("speaker_id")).alias("s"))
+    return u.select("split", F.sha2(F.array_join("s", "|"), 256).alias("speakers"), F.size("s").cast("bigint").alias("n"))
+
+
+@query
+def noise_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Suites of noisy rows against their originals; the noisy rows are the later deliveries."""
+    u = table(spark, folder, "utterances").where("source = 'seniortalk' and id is not null")
+    first = u.groupBy("id").agg(F.min(F.struct("ingested_at", "ordinal", "text", "source_id", "pcm_sha256")).alias("r")).select("id", "r.text", "r.source_id", "r.pcm_sha256")
+    last = u.groupBy("id").agg(F.max(F.struct("ingested_at", "ordinal", "text", "source_id", "pcm_sha256")).alias("r")).select("id", "r.text", "r.source_id", "r.pcm_sha256")
+    noisy = last.join(corpus.noise_plan(first.select("id"), "id", CONDITIONS, 37, 11).select("id", "condition"), "id")
+    return corpus.noise_audit(first, noisy, "id", ["text", "source_id", "pcm_sha256"], CONDITIONS)
+
+
+@query
+def augmentation_plan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = augment.plan(utterances(spark, folder).select("ordinal", "id", "split").where("id is not null"), exclude=["TimeStretch", "rir"])
+    return rows.select("ordinal", "apply_augmentation", F.array_join("augmentation", ",").alias("augmentation"))
+
+
+@query
+def eval_suites(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries by suite; rows without a prediction failed, a tenth of the duration was spent, and later deliveries are answered from the cache."""
+    u = table(spark, folder, "utterances").select("source", "ordinal", "id", "asr_prediction", F.when(F.col("duration") > 0, F.col("duration")).alias("duration"))
+    first = u.groupBy("id").agg(F.min("ordinal").alias("first"))
+    rows = u.join(first, "id").select("source", "duration", F.when(F.col("asr_prediction").isNull(), F.lit("no prediction")).alias("error"), (F.col("duration") * 0.1).alias("elapsed"), (F.col("ordinal") > F.col("first")).alias("cached"))
+    return metrics.eval_summary(rows, "source").withColumn("real_time_factor", F.round("real_time_factor", 6))
+
+
+@query
+def volume_stats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = utterances(spark, folder, "source", "source_id", "pcm_sha256", "duration")
+    parts = [dedup.split_stats(prepare.volume_composition(rows, share)).withColumn("volume", F.lit(name)) for name, share in (("025", 0.25), ("050", 0.5), ("075", 0.75))]
+    return corpus.union(parts).withColumn("hours", F.round("hours", 4))
+
+
+@query
+def mean_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", (F.round(segments.mean_confidence("embedding"), 4) + 0.0).alias("confidence"))
+
+
+@query
+def unknown_recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings of test utterances that the inventory lacks."""
+    held = utterances(spark, folder, "source_id").where("split = 'test'")
+    return validate.unmatched(held, table(spark, folder, "recordings"), "source_id")
+
+
+@query
+def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Verses of pages, made of the texts that have lines; marks of HTML are taken out of the texts first."""
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.split(F.regexp_replace("text", r"[<>&\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{2028}\x{2029}]", ""), "\n").alias("lines"))
+    block = F.transform("lines", lambda x: F.concat(F.lit('<div class="b"><div class="m1"><p>'), x, F.lit("</p></div></div>")))
+    page = F.concat(F.lit('<html><div class="poem">'), F.array_join(block, ""), F.lit('</div><div class="b"><p>no</p></div></html>'))
+    found = d.select("doc_id", F.posexplode(readers.verses(page)).alias("verse", "line"))
+    return found.select("doc_id", F.col("verse").cast("bigint").alias("verse"), F.sha2("line", 256).alias("digest"))
+
+
+@query
+def substring_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that are no stretch of their recording's text: chunks are laid out one after another, as far as their texts go."""
+    parts = table(spark, folder, "utterances").where("chunk_id is not null").groupBy("source_id", "chunk_id").agg(F.min("text").alias("text"), F.min("sentence").alias("sentence"))
+    whole = corpus.joined_text(parts, "source_id", "chunk_id", "text").withColumnRenamed("joined", "text")
+    head = parts.groupBy("source_id").agg(F.min(F.struct("chunk_id", "sentence", "text")).alias("r")).select("source_id", "r.chunk_id", "r.sentence", F.lit(0).cast("bigint").alias("text_start_char"), F.coalesce(F.length("r.text"), F.lit(0)).cast("bigint").alias("text_end_char"))
+    return validate.substring_errors(head, whole).select("source_id", "chunk_id")
+
+
+@query
+def prompt_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Places where the prompts of the prepared texts are not the labels of the delivered sentences."""
+    u = table(spark, folder, "utterances")
+    prompts = u.where("text is not null").select("ordinal", "audio", text.prompt(F.lit("Persian"), F.col("text")).alias("text"))
+    return validate.prompt_errors(u.select("ordinal", "audio", "sentence"), prompts)
+
+
+@query
+def aligned_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of an order as texts, and those that were sent by air as chunks."""
+    l = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("place"), F.col("l_partkey").cast("string").alias("text"), "l_quantity").groupBy("l_orderkey", "place").agg(F.min("text").alias("text"), F.max("l_quantity").alias("q"))
+    chunks = l.where("q > 10").select("l_orderkey", "place", F.concat(F.lit("chunk_"), F.col("place").cast("string")).alias("audio"))
+    return validate.aligned_lines(l.select("l_orderkey", "place", "text"), chunks, "l_orderkey", "place").select("l_orderkey", "place", "text", "audio", "problem")
+
+
+@query
+def cut_takes(spark: SparkSession, folder: str) -> DataFrame:
+    """Takes cut between groups of regions, regions standing for words."""
+    one = table(spark, folder, "takes").where("size(regions) > 0").groupBy("take_id").agg(F.max(F.struct("ingested_at", "regions")).alias("r")).select("take_id", "r.regions")
+    words = F.array_sort(F.array_distinct(F.transform("regions", lambda r: F.struct((r["start_sample"] / 16000).alias("start"), (r["end_sample"] / 16000).alias("end")))))
+    rows = one.select("take_id", words.alias("words"), (F.array_max(F.transform("regions", lambda r: r["end_sample"])) / 16000).alias("seconds"))
+    return segments.cut_recordings(rows, "take_id", "words", "seconds", "struct<start:double,end:double>").select("take_id", F.col("chunk").cast("bigint").alias("chunk"), "start_sample", "end_sample")

@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import MANIFEST
+from ..functions.text import after_marker, pair_key, safe_id, stem
+from .schema import DATASET, MANIFEST
+
+KINDS = dict(x.strip().rsplit(" ", 1) for x in MANIFEST.replace("\n", " ").split(","))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
@@ -34,10 +37,59 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def csv_pairs(spark: SparkSession, path: str, default_speaker: str = "unknown") -> DataFrame:
-    """Audio and text pairs; a blank speaker_id is default_speaker."""
+def resolved(path: Column | str, base: str) -> Column:
+    """A path as it is where it is absolute, else below base."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.when(c.rlike("^(/|[a-z0-9]+:)"), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), c))
+
+
+def csv_pairs(spark: SparkSession, path: str, default_speaker: str = "unknown", base: str | None = None) -> DataFrame:
+    """Audio and text pairs: relative paths are below base; a blank speaker_id is default_speaker, a blank source_id the safe pair key of the audio."""
     df = require(spark.read.csv(path, header=True, escape='"'), ["audio", "text", "speaker_id"])
-    return df.withColumn("speaker_id", F.coalesce(F.nullif(F.trim("speaker_id"), F.lit("")), F.lit(default_speaker)))
+    given = F.nullif(F.trim("source_id"), F.lit("")) if "source_id" in df.columns else F.lit(None).cast("string")
+    df = df.withColumns({"speaker_id": F.coalesce(F.nullif(F.trim("speaker_id"), F.lit("")), F.lit(default_speaker)), "source_id": safe_id(F.coalesce(given, pair_key(stem("audio"))))})
+    return df if base is None else df.withColumns({c: resolved(c, base) for c in ("audio", "text")})
+
+
+def references(rows: DataFrame, audio: str = "audio", text: str = "text") -> DataFrame:
+    """audio and reference, the text after the marker, of rows that have one."""
+    plain = F.trim(after_marker(text))
+    return rows.select(F.col(audio).alias("audio"), plain.alias("reference")).where("reference <> ''")
+
+
+def parquet_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """Parquet shards of a split, told by the file names: split-*.parquet."""
+    return spark.read.option("pathGlobFilter", f"{split}-*.parquet").parquet(folder).withColumn("split", F.lit(split))
+
+
+def dataset_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A data set on disk: Arrow stream shards in a folder for each split, which a state file beside the shards names in order.
+
+    Result: the columns of the schema, with the shard's split and number.
+    """
+    state = "_data_files array<struct<filename: string>>"
+    named = spark.read.schema(state).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "state.json").json(folder)
+    shards = named.select(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("dir"), F.posexplode("_data_files").alias("shard", "f"))
+    paths = shards.select(F.concat("dir", F.lit("/"), "f.filename").alias("path"), F.regexp_extract("dir", "[^/]*$", 0).alias("split"), "shard")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, split, shard in zip(*(batch[c].to_pylist() for c in ("path", "split", "shard"))):
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(name) as data, pa.ipc.open_stream(data) as reader:
+                    for rows in reader:
+                        yield rows.append_column("split", pa.array([split] * rows.num_rows)).append_column("shard", pa.array([shard] * rows.num_rows, pa.int32()))
+
+    fixed = paths.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+    return fixed.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(read, f"{schema}, split string, shard int")
+
+
+def peek(df: DataFrame) -> dict | None:
+    """The first row, read without the rest."""
+    row = df.first()
+    return row.asDict(recursive=True) if row else None
 
 
 def csv_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -80,6 +132,11 @@ def arrow_streams(spark: SparkSession, folder: str, schema: str, pattern: str =
     return found.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(read, schema)
 
 
+def dataset_columns(rows: DataFrame) -> DataFrame:
+    """The fixed columns of the built data set, those that rows lack null."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(KINDS[c]).alias(c) for c in DATASET])
+
+
 def split_of_file(path: Column) -> Column:
     """The split in a file's name."""
     return F.regexp_extract(path, r"([^/]+?)[-_.][^/]*$", 1)
