@@ -61,7 +61,7 @@ def nfkc(c: Column | str) -> Column:
     """Compatibility composition (NFKC); null for null."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
+        return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(c)
 
@@ -89,7 +89,8 @@ def plain_text(c: Column | str) -> Column:
 
 def after_marker(c: Column | str) -> Column:
     """What follows the first <asr_text>, or all where there is none."""
-    return F.regexp_replace(col(c), r"^(?s:.*?)<asr_text>", "")
+    at = F.instr(col(c), F.lit("<asr_text>"))
+    return F.when(at > 0, F.substr(col(c), at + len("<asr_text>"))).otherwise(col(c))
 
 
 def digits_to_ascii(c: Column) -> Column:

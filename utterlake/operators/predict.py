@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .segments import context_windows
 
 Predictor = Callable[[str, str], str]
+BatchPredictor = Callable[[list[tuple[str, str]]], list[str]]
 
 
 Scorer = Callable[[list[np.ndarray]], list[np.ndarray]]
@@ -42,10 +43,11 @@ def emissions(rows: DataFrame, load: Callable[[], Scorer], key: str, pcm: str, c
     return parts.mapInPandas(run, f"{key} string, window bigint, scores array<array<double>>")
 
 
-def predict(rows: DataFrame, load: Callable[[], Predictor], policy: str = "abort", keys: tuple[str, str] = ("audio", "language")) -> DataFrame:
+def predict(rows: DataFrame, load: Callable[[], Predictor | BatchPredictor], policy: str = "abort", keys: tuple[str, str] = ("audio", "language"), batch: int | None = None) -> DataFrame:
     """Rows with prediction, error and elapsed; load makes the predictor once for each task.
 
-    policy: abort ends the query at a failure, count_as_empty records it with an empty prediction.
+    policy: abort ends the query at a failure, count_as_empty records it with an empty prediction.  With batch the predictor takes
+    a list of so many pairs of keys and gives a list of texts; if it fails, the items of the batch are asked one by one to tell which one failed.
     """
     if policy not in ("abort", "count_as_empty"):
         raise ValueError(policy)
@@ -55,17 +57,26 @@ def predict(rows: DataFrame, load: Callable[[], Predictor], policy: str = "abort
         import time
 
         model = load()
-        for batch in batches:
-            out = []
-            for x, y in zip(batch[a], batch[b]):
-                start = time.monotonic()
-                try:
-                    text, error = model(x, y), None
-                except Exception as e:
-                    if policy == "abort":
-                        raise
-                    text, error = "", f"{type(e).__name__}: {e}"
-                out.append((x, y, text, error, time.monotonic() - start))
+        ask = model if batch else lambda pairs: [model(*p) for p in pairs]
+
+        def answers(pairs: list[tuple[str, str]]) -> list[tuple]:
+            start = time.monotonic()
+            try:
+                texts = list(ask(pairs))
+                if len(texts) != len(pairs):
+                    raise RuntimeError("not one prediction for each request")
+            except Exception as e:
+                if policy == "abort":
+                    raise
+                if len(pairs) > 1:
+                    return [row for p in pairs for row in answers([p])]
+                return [(*pairs[0], "", f"{type(e).__name__}: {e}", time.monotonic() - start)]
+            each = (time.monotonic() - start) / len(pairs)
+            return [(*p, t, None, each) for p, t in zip(pairs, texts)]
+
+        for frame in batches:
+            pairs = list(zip(frame[a], frame[b]))
+            out = [row for k in range(0, len(pairs), batch or 1) for row in answers(pairs[k : k + (batch or 1)])]
             yield pd.DataFrame(out, columns=["_a", "_b", "prediction", "error", "elapsed"])
 
     asked = rows.select(a, b).distinct().mapInPandas(run, "_a string, _b string, prediction string, error string, elapsed double")
