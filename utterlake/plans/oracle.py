@@ -85,16 +85,23 @@ def edits(a: str, b: str) -> str:
     return f"levenshtein({coded(a, table)}, {coded(b, table)})"
 
 
-SCORED = f"""scored AS (
-    SELECT ordinal, source, {ctc("coalesce(text, '')")} AS r, {ctc("asr_prediction")} AS h FROM utterances WHERE asr_prediction IS NOT NULL
+def scored(form) -> str:
+    """Errors and reference units of each row with a prediction, in a form."""
+    return f"""scored AS (
+    SELECT ordinal, source, {form("coalesce(text, '')")} AS r, {form("asr_prediction")} AS h FROM utterances WHERE asr_prediction IS NOT NULL
 ), tokens AS (
-    SELECT ordinal, source, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw,
+    SELECT ordinal, source, list_filter(string_split({gsub('r', WS + '+')}, ' '), lambda x: x <> '') AS rw, list_filter(string_split({gsub('h', WS + '+')}, ' '), lambda x: x <> '') AS hw,
         list_filter(string_split(r, ''), lambda x: x <> '') AS rc, list_filter(string_split(h, ''), lambda x: x <> '') AS hc FROM scored
 ), errors AS (
     SELECT ordinal, source, CAST({edits("rw", "hw")} AS BIGINT) AS word_errors, CAST(len(rw) AS BIGINT) AS words,
         CAST({edits("rc", "hc")} AS BIGINT) AS char_errors, CAST(len(rc) AS BIGINT) AS chars FROM tokens
 )"""
 
+
+SCORED = scored(ctc)
+RATES = """SELECT source, CAST(sum(word_errors) AS BIGINT) AS word_errors, CAST(sum(words) AS BIGINT) AS words, CAST(sum(char_errors) AS BIGINT) AS char_errors, CAST(sum(chars) AS BIGINT) AS chars,
+            round(sum(word_errors) / nullif(sum(words), 0), 6) AS wer, round(sum(char_errors) / nullif(sum(chars), 0), 6) AS cer FROM errors GROUP BY source"""
+
 REASONS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')"
 
 
@@ -182,6 +189,22 @@ def more_sql() -> dict[str, str]:
     odd = "[<>&\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{2028}\\x{2029}]"
     return {
         "adapter_rows": adapter_sql(),
+        "speech_spans": """WITH t AS (SELECT take_id, regions, row_number() OVER (PARTITION BY take_id ORDER BY ingested_at DESC, regions DESC) AS k FROM takes WHERE regions IS NOT NULL),
+            r AS (SELECT take_id, list_max(list_transform(regions, lambda r: r.end_sample)) AS total, list_filter(list_sort(list_distinct(list_transform(regions, lambda r: {'start': r.start_sample, 'end': r.end_sample}))), lambda r: r['end'] > r['start']) AS r FROM t WHERE k = 1),
+            c AS (SELECT take_id, total, list_transform(flatten(list_transform(r, lambda x: list_transform(range(0, greatest((x['end'] - x['start'] - 1) // 240000, 0) + 1), lambda k: {'start': x['start'] + k * 240000, 'end': least(x['start'] + (k + 1) * 240000, x['end'])}))), lambda x: [x]) AS c FROM r),
+            g AS (SELECT take_id, total, list_transform(list_reduce(c, lambda a, x: CASE WHEN x[1]['start'] - a[-1]['end'] > 9600 OR x[1]['end'] - a[-1]['start'] > 240000 OR a[-1]['end'] - a[-1]['start'] >= 128000 THEN list_concat(a, x)
+                ELSE list_concat(a[1:len(a) - 1], [{'start': a[-1]['start'], 'end': x[1]['end']}]) END), lambda x: [x]) AS g FROM c WHERE len(c) > 0),
+            m AS (SELECT take_id, total, unnest(list_reduce(g, lambda a, x: CASE WHEN x[1]['end'] - x[1]['start'] < 16000 AND x[1]['end'] - a[-1]['start'] <= 240000 AND x[1]['start'] - a[-1]['end'] <= 9600
+                THEN list_concat(a[1:len(a) - 1], [{'start': a[-1]['start'], 'end': x[1]['end']}]) ELSE list_concat(a, x) END)) AS m FROM g)
+            SELECT take_id, greatest(0, m['start'] - 1920) AS start, least(total, m['end'] + 1920) AS "end" FROM m""",
+        "cut_takes": """WITH t AS (SELECT take_id, regions, row_number() OVER (PARTITION BY take_id ORDER BY ingested_at DESC, regions DESC) AS k FROM takes WHERE len(regions) > 0),
+            w AS (SELECT take_id, list_max(list_transform(regions, lambda r: r.end_sample)) / 16000 AS total, list_transform(list_sort(list_distinct(list_transform(regions, lambda r: {'start': r.start_sample / 16000, 'end': r.end_sample / 16000}))), lambda x: [x]) AS w FROM t WHERE k = 1),
+            g AS (SELECT take_id, total, list_reduce(w, lambda a, x: CASE WHEN x[1]['end'] - a[-1]['start'] > 15 OR a[-1]['end'] - a[-1]['start'] >= 8 OR x[1]['start'] - a[-1]['end'] > 1.2 THEN list_concat(a, x)
+                ELSE list_concat(a[1:len(a) - 1], [{'start': a[-1]['start'], 'end': x[1]['end']}]) END) AS g FROM w),
+            n AS (SELECT take_id, total, list_transform(range(1, len(g) + 1), lambda k: [{'s': g[k]['start'], 'e': g[k]['end'], 'a': CASE WHEN k < len(g) THEN g[k + 1]['start'] ELSE total END}]) AS n FROM g),
+            c AS (SELECT take_id, list_reduce(list_concat([[{'s': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'a': 0.0::DOUBLE}]], n), lambda a, x: list_concat(a, [{'s': greatest(0, round_even(greatest(a[-1]['e'] / 16000, x[1]['s'] - 0.08::DOUBLE) * 16000, 0)),
+                'e': least(round_even(total * 16000, 0), round_even(least(total, x[1]['e'] + 0.08::DOUBLE, (x[1]['e'] + x[1]['a']) / 2) * 16000, 0)), 'a': 0.0::DOUBLE}])) AS c FROM n)
+            SELECT take_id, k - 2 AS chunk, CAST(c[k]['s'] AS BIGINT) AS start_sample, CAST(c[k]['e'] AS BIGINT) AS end_sample FROM (SELECT take_id, c, unnest(range(2, len(c) + 1)) AS k FROM c)""",
         "materialize_rows": f"""WITH r AS (SELECT id, CASE WHEN sentence IS NULL THEN 'decode' WHEN NOT octet_length(encode(sentence)) / 32000.0 BETWEEN 0.002 AND 0.008 THEN 'duration' WHEN {blank('text')} THEN 'empty_text' END AS reason, sha256(sentence) AS digest FROM utterances),
             f AS (SELECT id AS own, min(digest) AS first FROM r WHERE reason IS NULL GROUP BY id),
             t AS (SELECT id, coalesce(reason, CASE WHEN digest <> first THEN 'id_collision' END) AS reason, digest FROM r LEFT JOIN f ON id = own)
@@ -301,8 +324,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT composition, count(*) AS sources, coalesce(string_agg(CASE WHEN h.source IS NULL THEN c.source END, ',' ORDER BY c.source), '') AS missing, count(h.source) = count(*) AS ready
             FROM c LEFT JOIN h ON c.source = h.source GROUP BY composition""",
         "wer_rows": f"WITH {SCORED} SELECT ordinal, word_errors, words, char_errors, chars FROM errors",
-        "wer_cer_corpus": f"""WITH {SCORED} SELECT source, CAST(sum(word_errors) AS BIGINT) AS word_errors, CAST(sum(words) AS BIGINT) AS words, CAST(sum(char_errors) AS BIGINT) AS char_errors, CAST(sum(chars) AS BIGINT) AS chars,
-            round(sum(word_errors) / nullif(sum(words), 0), 6) AS wer, round(sum(char_errors) / nullif(sum(chars), 0), 6) AS cer FROM errors GROUP BY source""",
+        "wer_cer_corpus": f"WITH {SCORED} {RATES}",
+        "wer_raw_corpus": f"WITH {scored(plain)} {RATES}",
         "high_wer": f"WITH {SCORED} SELECT ordinal, word_errors, words FROM errors WHERE word_errors > 0.4 * words",
         "teacher_filter": f"""WITH {SCORED}, a AS (SELECT source, coalesce(word_errors / nullif(words, 0) < 0.2, false) AS ok FROM errors)
             SELECT source, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS rejected FROM a GROUP BY source""",

@@ -235,6 +235,12 @@ def result_table(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.result_table(raw.join(normal, "source"), "source")
 
 
+@query
+def wer_raw_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    rates = metrics.error_rates(metrics.row_errors(scored(spark, folder), form="raw"), "source")
+    return rates.withColumns({c: F.round(c, 6) for c in ("wer", "cer")})
+
+
 @query
 def teacher_filter(spark: SparkSession, folder: str) -> DataFrame:
     rows = metrics.row_errors(scored(spark, folder), form="ctc").withColumn("wer", F.try_divide(F.col("word_errors").cast("double"), F.col("words")))
