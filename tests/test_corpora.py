@@ -141,3 +141,17 @@ def test_cut_recordings(spark):
     got = segments.cut_recordings(df, "id", "w", "s", "struct<start:double,end:double>").orderBy("chunk").collect()
     assert [(r.start_sample, r.end_sample, len(r.words)) for r in got] == [(6720, 33280, 2), (62720, 89280, 2)]
     assert [r[0] for r in spark.createDataFrame([([0.5, 1.0],), ([],), (None,)], "c array<double>").select(segments.mean_confidence("c")).collect()] == [0.75, None, None]
+
+
+def test_blocks_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    from utterlake.operators.blocks import previous, running_sum
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice(["a", "a", "b", None]), rng.randrange(400), k, rng.choice([None, 1, 2, 5])) for k in range(500)], "g string, o int, t int, v int")
+    w = Window.partitionBy("g").orderBy("o", "t")
+    want = df.withColumns({"p": F.lag("v").over(w), "s": F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))})
+    got = running_sum(previous(df, "g", "o", "t", "v", 37, "p"), "g", "o", "t", "v", 37, "s")
+    key = lambda r: (r.t, r.p, r.s or 0)
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)

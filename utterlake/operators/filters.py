@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.text import col, normalize_eval, squeeze, standardize
 
@@ -150,8 +149,3 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Rows that break a rule, once for each rule: the row and rule."""
     return rows.withColumn("rule", F.explode(reasons_of(checks)))
 
-
-def overlap_violations(rows: DataFrame, by: str, order: str, start: str = "start", end: str = "end", slack: float = 1e-6) -> DataFrame:
-    """Rows that end after the next one of their group begins."""
-    after = F.lead(start).over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("next_start", after).where(F.col(end) > F.col("next_start") + slack)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import col
+from .blocks import with_blocks
 
 DISJOINT = ["source_id", "source_audio_sha256", "pcm_sha256", "split_group"]
 
@@ -62,13 +63,15 @@ def next_in_blocks(rows: DataFrame, by: str, order: str, tie: str, block: float)
     Groups are cut into blocks of order, so that a group of a tenth of all rows is no single sort: inside a block a window tells the next
     row, the last one of a block gets the first of the next block that has any.
     """
-    cut = rows.withColumn("_block", F.floor(F.col(order) / block))
+    head = {"_head": F.min(order)}
+    told = with_blocks(rows, by, order, block, head, {"_after": ("_head", lambda c, w: F.lead(c).over(w))})
     inner = Window.partitionBy(by, "_block").orderBy(order, tie)
-    heads = cut.groupBy(by, "_block").agg(F.min(order).alias("_head"))
-    after = heads.select(F.col(by).alias("_by"), F.col("_block").alias("_own"), F.lead("_head").over(Window.partitionBy(by).orderBy("_block")).alias("_after"))
-    told = cut.withColumn("next_start", F.lead(order).over(inner))
-    joined = told.join(after, told[by].eqNullSafe(F.col("_by")) & told["_block"].eqNullSafe(F.col("_own")), "left")
-    return joined.withColumn("next_start", F.coalesce("next_start", "_after")).drop("_block", "_by", "_own", "_after")
+    return told.withColumn("next_start", F.coalesce(F.lead(order).over(inner), F.col("_after"))).drop("_block", "_after")
+
+
+def overlap_violations(rows: DataFrame, by: str, start: str, end: str, tie: str, block: float = 600.0, slack: float = 1e-6) -> DataFrame:
+    """Rows that end after the next one of their group begins."""
+    return next_in_blocks(rows, by, start, tie, block).where(F.col(end) > F.col("next_start") + slack)
 
 
 def aligned_lines(texts: DataFrame, chunks: DataFrame, by: str, order: str) -> DataFrame:

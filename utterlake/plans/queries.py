@@ -283,7 +283,7 @@ def region_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def overlap_check(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "utterances").where("original_start is not null").groupBy("source_id", "id").agg(F.min("original_start").alias("start"), F.min("original_end").alias("end"))
-    return validate.next_in_blocks(rows, "source_id", "start", "id", 600.0).where(F.col("end") > F.col("next_start") + 1e-6).select("source_id", "id", "end", "next_start")
+    return validate.overlap_violations(rows, "source_id", "start", "end", "id").select("source_id", "id", "end", "next_start")
 
 
 @query
@@ -398,8 +398,8 @@ def align_beam(spark: SparkSession, folder: str) -> DataFrame:
         F.min("text").alias("text"), F.min("asr_prediction").alias("prediction"), F.min("duration").alias("duration")
     )
     whole = corpus.joined_text(parts, "source_id", "chunk_id", "text")
-    chunks = parts.withColumn("chunk", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint")).join(whole, "source_id")
-    return segments.align_chunks(chunks.select(F.col("source_id").alias("recording"), "chunk", "prediction", "duration", F.col("joined").alias("transcript")))
+    chunks = parts.select(F.col("source_id").alias("recording"), F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint").alias("chunk"), "prediction", "duration")
+    return segments.align_chunks(chunks, whole.select(F.col("source_id").alias("recording"), F.col("joined").alias("transcript")))
 
 
 @query
