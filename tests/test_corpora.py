@@ -155,3 +155,16 @@ def test_blocks_equal_one_window(spark):
     got = running_sum(previous(df, "g", "o", "t", "v", 37, "p"), "g", "o", "t", "v", 37, "s")
     key = lambda r: (r.t, r.p, r.s or 0)
     assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
+def test_checked_merge_and_counts(spark, tmp_path):
+    from utterlake.operators import corpus
+
+    base, more = (spark.createDataFrame([(k, "x") for k in keys], "id string, t string") for keys in (["a", "b"], ["c"]))
+    assert corpus.checked_merge(base, more, "id").count() == 3
+    with pytest.raises(ValueError, match="'a'"):
+        corpus.checked_merge(base, base.where("id = 'a'"), "id")
+    with pytest.raises(ValueError, match="columns differ"):
+        corpus.checked_merge(base, more.withColumn("n", F.lit(1)), "id")
+    base.coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert [r.rows for r in readers.shard_counts(spark, str(tmp_path / "p")).collect()] == [2]

@@ -39,6 +39,15 @@ def readiness(rows: DataFrame) -> DataFrame:
     ).withColumn("ready", F.size("missing") == 0)
 
 
+def checked_merge(base: DataFrame, increment: DataFrame, key: str) -> DataFrame:
+    """Base and the increment; other columns, or a key that both have, stop it, with the first ten of them."""
+    if base.columns != increment.columns:
+        raise ValueError(f"columns differ: {sorted(set(base.columns) ^ set(increment.columns)) or 'in their order'}")
+    if both := increment_conflicts(base, increment, key).orderBy(key).limit(10).collect():
+        raise ValueError(f"keys in both: {[r[0] for r in both]}")
+    return base.unionByName(increment)
+
+
 def merge_increment(base: DataFrame, increment: DataFrame, key: str) -> DataFrame:
     """Base and the rows of the increment whose key is new."""
     return base.unionByName(increment.join(base.select(key), key, "left_anti"), allowMissingColumns=True)
@@ -58,6 +67,27 @@ def vocabulary(texts: DataFrame, text: str, *by: str) -> DataFrame:
     return chars.withColumn("number", (F.row_number().over(order) - 1).cast("bigint"))
 
 
+def ctc_vocabulary(texts: DataFrame, text: str) -> DataFrame:
+    """The characters of texts with their number in code point order, a bar in the place of the blank, then the marks of unknown and padding."""
+    known = vocabulary(texts, text).select(F.when(F.col("character") == " ", "|").otherwise(F.col("character")).alias("character"), "number")
+    n = known.agg(F.count("*").alias("n"))
+    # The special tokens.
+    marks = n.select(F.posexplode(F.array(F.lit("[UNK]"), F.lit("[PAD]"))).alias("k", "character"), "n").select("character", (F.col("n") + F.col("k")).alias("number"))
+    return known.unionByName(marks)
+
+
+def composition_audit(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each composition with its sources without rows, values of keys in more than one split, and status: missing_data, failed or passed."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame([(n, s) for n, members in COMPOSITIONS.items() for s in members], "composition string, source string")
+    member = rows.join(F.broadcast(wanted), "source")
+    each = member.select("composition", "split", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")).where("x.value is not null")
+    leaks = each.groupBy("composition", "x.key", "x.value").agg((F.min("split") != F.max("split")).alias("torn")).groupBy("composition").agg(F.count_if("torn").alias("leaks"))
+    ready = readiness(rows).select("composition", F.size("missing").cast("bigint").alias("missing"))
+    status = F.when(F.col("missing") > 0, "missing_data").when(F.col("leaks") > 0, "failed").otherwise("passed")
+    return ready.join(leaks, "composition", "left").select("composition", "missing", F.coalesce("leaks", F.lit(0)).alias("leaks"), status.alias("status"))
+
+
 def joined_text(chunks: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """The texts of each recording in order, joined by blanks; a chunk without text is an empty one."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))

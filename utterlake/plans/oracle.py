@@ -189,6 +189,13 @@ def more_sql() -> dict[str, str]:
     odd = "[<>&\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{2028}\\x{2029}]"
     return {
         "adapter_rows": adapter_sql(),
+        "ctc_vocabulary": f"""WITH c AS (SELECT DISTINCT unnest(string_split({ctc('text')}, '')) AS c FROM utterances WHERE text IS NOT NULL), n AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM c WHERE c <> '')
+            SELECT CASE WHEN c = ' ' THEN '|' ELSE c END AS character, k AS number FROM n UNION ALL SELECT '[UNK]', count(*) FROM n UNION ALL SELECT '[PAD]', count(*) + 1 FROM n""",
+        "composition_audit": f"""WITH {U}, c(composition, source) AS (VALUES {COMPOSED}), h AS (SELECT DISTINCT source FROM utterances),
+            r AS (SELECT composition, count(*) - count(h.source) AS missing FROM c LEFT JOIN h ON c.source = h.source GROUP BY composition),
+            e AS (SELECT composition, split, 's' AS key, source_id AS value FROM u JOIN c USING (source) UNION ALL SELECT composition, split, 'p', pcm_sha256 FROM u JOIN c USING (source)),
+            t AS (SELECT composition, key, value, count(DISTINCT split) > 1 AS torn FROM e WHERE value IS NOT NULL GROUP BY ALL), l AS (SELECT composition, count(*) FILTER (WHERE torn) AS leaks FROM t GROUP BY composition)
+            SELECT composition, missing, coalesce(leaks, 0) AS leaks, CASE WHEN missing > 0 THEN 'missing_data' WHEN leaks > 0 THEN 'failed' ELSE 'passed' END AS status FROM r LEFT JOIN l USING (composition)""",
         "speech_spans": """WITH t AS (SELECT take_id, regions, row_number() OVER (PARTITION BY take_id ORDER BY ingested_at DESC, regions DESC) AS k FROM takes WHERE regions IS NOT NULL),
             r AS (SELECT take_id, list_max(list_transform(regions, lambda r: r.end_sample)) AS total, list_filter(list_sort(list_distinct(list_transform(regions, lambda r: {'start': r.start_sample, 'end': r.end_sample}))), lambda r: r['end'] > r['start']) AS r FROM t WHERE k = 1),
             c AS (SELECT take_id, total, list_transform(flatten(list_transform(r, lambda x: list_transform(range(0, greatest((x['end'] - x['start'] - 1) // 240000, 0) + 1), lambda k: {'start': x['start'] + k * 240000, 'end': least(x['start'] + (k + 1) * 240000, x['end'])}))), lambda x: [x]) AS c FROM r),

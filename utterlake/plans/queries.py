@@ -298,6 +298,16 @@ def vocabulary_by_language(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.vocabulary(rows, "text", "language")
 
 
+@query
+def ctc_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.ctc_vocabulary(table(spark, folder, "utterances").select(text.normalize_ctc("text").alias("t")).where("t is not null"), "t")
+
+
+@query
+def composition_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.composition_audit(utterances(spark, folder, "source", "source_id", "pcm_sha256"), ["source_id", "pcm_sha256"])
+
+
 @query
 def ctc_feasible(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "utterances").select("ordinal", F.coalesce(F.when(F.col("duration") > 0, F.col("duration")), F.lit(0.0)).alias("duration"), text.normalize_ctc(F.coalesce("text", F.lit(""))).alias("label"))

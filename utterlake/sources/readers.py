@@ -86,6 +86,12 @@ def dataset_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return fixed.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(read, f"{schema}, split string, shard int")
 
 
+def shard_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each Parquet file below a folder, with its name; no column is read."""
+    files = spark.read.option("recursiveFileLookup", True).parquet(folder)
+    return files.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
+
+
 def peek(df: DataFrame) -> dict | None:
     """The first row, read without the rest."""
     row = df.first()
