@@ -70,3 +70,10 @@ def test_rows_of_one_name_and_several_sizes(spark):
     for r in got:
         used[r.container] = used.get(r.container, 0) + r.tokens
     assert {(r.doc_id, r.tokens) for r in got} == {(1, 1900), (2, 1940), (3, 90)} and max(used.values()) <= 2048
+
+
+def test_missing_vocabulary():
+    from utterlake.llm.tokens import counter
+
+    with pytest.raises(FileNotFoundError, match="no vocabulary file"):
+        counter("/nowhere/x.model")

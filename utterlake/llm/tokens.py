@@ -17,7 +17,9 @@ FOLDER, VOCABULARY = "/opt/tokenizers", "piece_bpe_32k.model"
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function from texts to token counts, by the kind of file."""
+    """A function from texts to token counts, by the kind of file; every executor needs the file."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no vocabulary file {path} on this machine; name its folder in token_count()")
     if path.endswith(".model"):
         import sentencepiece
 
