@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import id_filter, may_hold, row_slices
 from .visual_form import code_points, tables, to_strings
 
 RATE = 16_000
@@ -235,11 +235,12 @@ def take_pieces(takes: DataFrame, limit_seconds: float = 16.0, overlap_seconds:
         raise ValueError("the overlap must be shorter than the limit")
     last = F.array_max(F.transform("regions", lambda r: r["end_sample"]))
     size = F.greatest(F.when((F.col("duration") > 0) & ~F.isnan("duration"), F.ceil(F.col("duration") * RATE)), F.when(last > 0, last)).cast("bigint")
-    one = (
-        takes.where("take_id is not null").select("take_id", "audio", "sentence", "regions", size.alias("size")).where("size is not null")
-        .groupBy("take_id").agg(F.max_by(F.struct("audio", "sentence", "regions", "size"), F.struct("size", "audio", "sentence", F.to_json("regions"))).alias("r"))
-        .select("take_id", "r.*")
-    )
+    sized = takes.where("take_id is not null").select("take_id", "audio", "sentence", "regions", size.alias("size")).where("size is not null")
+    # Only takes that may have several rows are brought together, by a filter of fixed size made of those that do; the others stay where they are.
+    several = may_hold("take_id", id_filter(sized.groupBy("take_id").agg(F.count("*").alias("n")).where("n > 1"), "take_id"))
+    content = F.struct("size", F.xxhash64("audio", "sentence", "regions"), "audio", "sentence")
+    best = sized.where(several).groupBy("take_id").agg(F.max_by(F.struct("audio", "sentence", "regions", "size"), content).alias("r")).select("take_id", "r.*")
+    one = sized.where(~several).unionByName(best)
     return one.mapInArrow(
         piece_batches(limit, overlap, near), "take_id string, audio string, piece bigint, pieces bigint, start_sample bigint, end_sample bigint, cut string, sentence string"
     )
