@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from utterlake.llm.overlap import EMPTY_SHA256, overlap_counts, split_overlap
+from utterlake.llm.overlap import EMPTY_SHA256, overlap_classes, overlap_counts, split_overlap
 from utterlake.operators.segments import edits
 
 SCHEMA = "id string, text string, split string, pcm_sha256 string, source string, key string, train_id int"
@@ -60,6 +60,12 @@ def test_equals_all_pairs(spark, shards, monkeypatch):
     pairs = split_overlap(df)
     got = {(r.train_id, r.eval_id) for r in pairs.collect()}
     assert got == brute(rows)
+    # Links of classes count the same pairs, one utterance with itself aside, without making them.
+    links = overlap_classes(df).collect()
+    by_text = pairs.where("edits is not null").count()
+    itself = sum(1 for r in rows[-1:] for q in rows[-2:-1] if r[0] == q[0] and len(r[1]) >= 25)
+    assert sum(r.trains * r.evals for r in links if r.kind != "digest") == by_text + itself
+    assert all(r.edits == 0 for r in links if r.kind == "same") and all(r.edits > 0 for r in links if r.kind == "near")
     counts = overlap_counts(pairs, df).collect()
     assert sum(r.pairs for r in counts) >= len(got) - 5
 

@@ -308,16 +308,8 @@ def near_classes(classes: DataFrame, share: float = 0.15, shard_letters: int = 6
     return placed.mapInArrow(scan_cells(share), "train_key bigint, eval_key bigint, edits bigint, coverage double").where("train_key <> eval_key")
 
 
-def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int = 25) -> DataFrame:
-    """Pairs of an utterance of split train and one of validation or test that are the same or nearly so.
-
-    utterances: id, text, split, pcm_sha256; other columns are left out.  A pair is taken if both have
-    the same pcm_sha256 (case aside; null, blank and the digest of empty input don't count) or if both
-    texts have least_letters letters and their letters are within share of the longer in edits.
-    Result, distinct: train_id, eval_id, edits (0 for equal letters, null for a pair by digest only),
-    coverage (share of the evaluation text in unchanged passages; null by digest only).  Rows with null id
-    or split are out; repeated rows count once; no rows give no rows.  Texts may be of any length.
-    """
+def members(utterances: DataFrame, least_letters: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct members of either side by what they have: texts (key, other, letters, id, train) and digests (sha, id, train)."""
     side = split_name("split")
     rows = utterances.where(F.col("id").isNotNull()).select(
         "id", "text", F.lower(F.trim("pcm_sha256")).alias("sha"), F.when(side == "train", True).when(side.isin("validation", "test"), False).alias("train")
@@ -329,16 +321,53 @@ def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int
         .withColumns({"key": F.xxhash64("letters"), "other": F.hash("letters")})
         .distinct()
     )
-    texts = written(texts)
-    members = texts.select("key", "other", "id", "train")
-    classes = texts.groupBy("key", "letters").agg(F.max("train").alias("trains"), F.max(~F.col("train")).alias("evals"))
-    near = near_classes(classes, share)
-    trains = members.where("train").select(F.col("key").alias("train_key"), F.col("other").alias("train_other"), F.col("id").alias("train_id"))
-    evals = members.where("not train").select(F.col("key").alias("eval_key"), F.col("other").alias("eval_other"), F.col("id").alias("eval_id"))
-    by_near = near.join(trains, "train_key").join(evals, "eval_key").select("train_id", "eval_id", "edits", "coverage")
+    digests = rows.where((F.col("sha") != "") & (F.col("sha") != EMPTY_SHA256)).select("sha", "id", "train").distinct()
+    return written(texts), digests
+
+
+def text_links(texts: DataFrame, share: float) -> DataFrame:
+    """Near-same pairs of different texts of either side, from the members by text: train_key, eval_key, edits, coverage."""
+    return near_classes(texts.groupBy("key", "letters").agg(F.max("train").alias("trains"), F.max(~F.col("train")).alias("evals")), share)
+
+
+def overlap_classes(utterances: DataFrame, share: float = 0.15, least_letters: int = 25) -> DataFrame:
+    """Links between classes of equal texts or digests, with their members counted instead of paired: kind, train_key, eval_key, edits, coverage, trains, evals.
+
+    kind is near (two texts within share), same (one text on both sides) or digest (one digest on both sides); keys are hashes of the text's letters or
+    the digest.  The number of rows grows with the different texts, however many copies each has.  Cases as of split_overlap(); a link of one utterance with itself counts.
+    """
+    texts, digests = members(utterances, least_letters)
+    count = lambda df, *by: df.groupBy(*by).agg(F.count_if("train").alias("trains"), F.count_if(~F.col("train")).alias("evals"))
+    sizes = count(texts, "key", "other")
+    both = "trains > 0 and evals > 0"
+    row = lambda kind, a, b, edits, coverage: [F.lit(kind).alias("kind"), F.col(a).alias("train_key"), F.col(b).alias("eval_key"), edits.cast("bigint").alias("edits"), coverage.cast("double").alias("coverage"), "trains", "evals"]
+    by_key = sizes.groupBy("key").agg(F.sum("trains").alias("trains"), F.sum("evals").alias("evals"))
+    near = (
+        text_links(texts, share).join(by_key.select(F.col("key").alias("train_key"), "trains"), "train_key").join(by_key.select(F.col("key").alias("eval_key"), "evals"), "eval_key")
+        .select(*row("near", "train_key", "eval_key", F.col("edits"), F.col("coverage")))
+    )
+    same = sizes.where(both).select(*row("same", "key", "key", F.lit(0), F.lit(1.0)))
+    shared = count(digests, "sha").where(both).withColumn("key", F.xxhash64("sha")).select(*row("digest", "key", "key", F.lit(None), F.lit(None)))
+    return near.unionByName(same).unionByName(shared)
+
+
+def split_overlap(utterances: DataFrame, share: float = 0.15, least_letters: int = 25) -> DataFrame:
+    """Pairs of an utterance of split train and one of validation or test that are the same or nearly so.
+
+    utterances: id, text, split, pcm_sha256; other columns are left out.  A pair is taken if both have
+    the same pcm_sha256 (case aside; null, blank and the digest of empty input don't count) or if both
+    texts have least_letters letters and their letters are within share of the longer in edits.
+    Result, distinct: train_id, eval_id, edits (0 for equal letters, null for a pair by digest only),
+    coverage (share of the evaluation text in unchanged passages; null by digest only).  Rows with null id
+    or split are out; repeated rows count once; no rows give no rows.  Every member of a class is paired, as the result asks for
+    pairs; overlap_classes() has the same without.
+    """
+    texts, digests = members(utterances, least_letters)
+    trains = texts.where("train").select(F.col("key").alias("train_key"), F.col("other").alias("train_other"), F.col("id").alias("train_id"))
+    evals = texts.where("not train").select(F.col("key").alias("eval_key"), F.col("other").alias("eval_other"), F.col("id").alias("eval_id"))
+    by_near = text_links(texts, share).join(trains, "train_key").join(evals, "eval_key").select("train_id", "eval_id", "edits", "coverage")
     # Texts are told by two hashes, 96 bits together.
     same = trains.join(evals, (F.col("train_key") == F.col("eval_key")) & (F.col("train_other") == F.col("eval_other"))).select("train_id", "eval_id", F.lit(0).cast("bigint").alias("edits"), F.lit(1.0).alias("coverage"))
-    digests = rows.where((F.col("sha") != "") & (F.col("sha") != EMPTY_SHA256)).select("sha", "id", "train").distinct()
     by_digest = (
         digests.where("train").select("sha", F.col("id").alias("train_id"))
         .join(digests.where("not train").select("sha", F.col("id").alias("eval_id")), "sha")

@@ -11,7 +11,7 @@ from .common import not_blank
 from .group_split import assign_splits, torn_groups
 from .leakage import leaked, paraphrased
 from .mixing import mix, mix_shares
-from .overlap import overlap_counts, split_overlap
+from .overlap import overlap_classes, overlap_counts, split_overlap
 from .packing import containers
 from .page_quality import list_pages
 from .pieces import take_pieces
@@ -60,6 +60,10 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_counts(split_overlap(rows), rows)
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_classes(table(spark, folder, "utterances")).withColumn("coverage", F.round("coverage", 6))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "utterances").select("id", "text", "sentence").where(not_blank("text") & not_blank("sentence") & (F.col("text") != F.col("sentence")))
     forms = rows.select("id", visual_form("text").alias("a"), visual_form("sentence").alias("b"))
@@ -92,7 +96,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_paraphrases, p3_found, p3_counts, p4_found, p5_found, p5_splits, p6_containers, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_paraphrases, p3_found, p3_classes, p3_counts, p4_found, p5_found, p5_splits, p6_containers, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
