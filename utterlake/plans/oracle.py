@@ -189,6 +189,7 @@ def more_sql() -> dict[str, str]:
     odd = "[<>&\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{2028}\\x{2029}]"
     return {
         "adapter_rows": adapter_sql(),
+        "noise_suite": "SELECT CAST(vec_id AS VARCHAR) AS id, unnest(['snr20', 'snr10', 'snr5', 'rir', 'channel', 'combined']) AS condition, CAST(len(embedding) AS BIGINT) AS samples FROM embeddings",
         "ctc_vocabulary": f"""WITH c AS (SELECT DISTINCT unnest(string_split({ctc('text')}, '')) AS c FROM utterances WHERE text IS NOT NULL), n AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM c WHERE c <> '')
             SELECT CASE WHEN c = ' ' THEN '|' ELSE c END AS character, k AS number FROM n UNION ALL SELECT '[UNK]', count(*) FROM n UNION ALL SELECT '[PAD]', count(*) + 1 FROM n""",
         "composition_audit": f"""WITH {U}, c(composition, source) AS (VALUES {COMPOSED}), h AS (SELECT DISTINCT source FROM utterances),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, metrics, text
-from ..operators import augment, corpus, dedup, filters, graph, prepare, segments, splits, validate
+from ..operators import audio, augment, corpus, dedup, filters, graph, prepare, segments, splits, validate
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,6 +506,16 @@ def split_speakers(spark: SparkSession, folder: str) -> DataFrame:
     return u.select("split", F.sha2(F.array_join("s", "|"), 256).alias("speakers"), F.size("s").cast("bigint").alias("n"))
 
 
+@query
+def noise_suite(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as short sounds under every condition, a fifth of them, held out by digest, as backgrounds and rooms: how many samples each has."""
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), audio.pcm_of_samples("embedding").alias("pcm"))
+    assets = splits.hash_rank(splits.first_share(e, "id", 0.2, None), "id", None).select((F.col("rank") - 1).alias("number"), "pcm", "total")
+    n = (assets.agg(F.max("total")).first()[0]) or 1
+    made = audio.noise_suite(e, corpus.noise_plan(e, "id", CONDITIONS, n, n), assets, assets)
+    return made.select("id", "condition", (F.octet_length("pcm") / 2).cast("bigint").alias("samples"))
+
+
 @query
 def noise_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Suites of noisy rows against their originals; the noisy rows are the later deliveries."""
