@@ -126,3 +126,15 @@ def test_wave_of_24_bits():
         w.setparams((1, 3, 16_000, 0, "NONE", ""))
         w.writeframes(raw)
     assert np.frombuffer(readers.pcm_of_wave(out.getvalue()), "<i2").tolist() == [0, 1 << 14, -(1 << 15), (1 << 15) - 1]
+
+
+def test_distinct_deliveries(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    for k, rows in enumerate(([("a", day(1)), ("b", day(2)), ("a", day(2))], [("a", day(3)), ("c", day(3))])):
+        spark.createDataFrame(rows, "id string, ingested_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id string, ingested_at timestamp").parquet(str(tmp_path / "in"))
+        q = merge.distinct_deliveries(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]

@@ -99,7 +99,7 @@ def incomplete(chunks: DataFrame, whole: DataFrame, by: str, order: str, text: s
     from ..functions.text import squeeze
 
     joined = joined_text(chunks, by, order, text).join(whole.select(by, full), by)
-    return joined.where(squeeze(F.col("joined")) != squeeze(F.col(full)))
+    return joined.where(~squeeze(F.col("joined")).eqNullSafe(squeeze(F.col(full)))).select(by)
 
 
 def zipped(left: DataFrame, right: DataFrame, by: str, order: str) -> DataFrame:

@@ -190,6 +190,9 @@ def more_sql() -> dict[str, str]:
     return {
         "adapter_rows": adapter_sql(),
         "noise_suite": "SELECT CAST(vec_id AS VARCHAR) AS id, unnest(['snr20', 'snr10', 'snr5', 'rir', 'channel', 'combined']) AS condition, CAST(len(embedding) AS BIGINT) AS samples FROM embeddings",
+        "incomplete_recordings": f"""WITH c AS (SELECT source_id, chunk_id, coalesce(min(text), '') AS t, coalesce(min(sentence), '') AS s FROM utterances WHERE chunk_id IS NOT NULL GROUP BY ALL),
+            j AS (SELECT source_id, string_agg(t, ' ' ORDER BY chunk_id) AS t, string_agg(s, ' ' ORDER BY chunk_id) AS s FROM c WHERE source_id IS NOT NULL GROUP BY source_id) SELECT source_id FROM j WHERE {squeeze('t')} <> {squeeze('s')}""",
+        "review_flags": f"SELECT ordinal, {blank('sentence')} OR alignment_wer IS NULL OR alignment_wer > 0.55 AS needs_review, {VERIFIED.format('speaker_id')} AS human_verified FROM utterances",
         "ctc_vocabulary": f"""WITH c AS (SELECT DISTINCT unnest(string_split({ctc('text')}, '')) AS c FROM utterances WHERE text IS NOT NULL), n AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM c WHERE c <> '')
             SELECT CASE WHEN c = ' ' THEN '|' ELSE c END AS character, k AS number FROM n UNION ALL SELECT '[UNK]', count(*) FROM n UNION ALL SELECT '[PAD]', count(*) + 1 FROM n""",
         "composition_audit": f"""WITH {U}, c(composition, source) AS (VALUES {COMPOSED}), h AS (SELECT DISTINCT source FROM utterances),

@@ -337,6 +337,20 @@ def partition_complete(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.joined_text(chunks, "source_id", "chunk_id", "text").select("source_id", F.length("joined").cast("bigint").alias("chars"), F.sha2("joined", 256).alias("digest"))
 
 
+@query
+def incomplete_recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings whose prepared chunks together are not what was delivered."""
+    chunks = table(spark, folder, "utterances").where("chunk_id is not null").groupBy("source_id", "chunk_id").agg(F.min("text").alias("text"), F.min("sentence").alias("sentence"))
+    whole = corpus.joined_text(chunks, "source_id", "chunk_id", "sentence")
+    return corpus.incomplete(chunks, whole.withColumnRenamed("joined", "full"), "source_id", "chunk_id", "text", "full")
+
+
+@query
+def review_flags(spark: SparkSession, folder: str) -> DataFrame:
+    u = table(spark, folder, "utterances")
+    return u.select("ordinal", filters.needs_review(F.col("sentence"), F.col("alignment_wer")).alias("needs_review"), filters.human_verified("speaker_id").alias("human_verified"))
+
+
 @query
 def merge_increment(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
