@@ -251,17 +251,25 @@ def weigh(idf: np.ndarray, number: np.ndarray, word: np.ndarray, n: int) -> np.n
     return (w / np.maximum(norm[number], 1e-12)).astype(np.float32)
 
 
-def times(weight: np.ndarray | None, number: np.ndarray, word: np.ndarray, n: int, dense: np.ndarray) -> np.ndarray:
-    """Sparse matrix, sorted by row, times a dense one, in blocks of bounded size."""
+def times(weight: np.ndarray | None, number: np.ndarray, word: np.ndarray, n: int, dense: np.ndarray, most: int = 1 << 12, few: int = 48) -> np.ndarray:
+    """Sparse matrix, sorted by row, times a dense one, in blocks of bounded size: rows of as many entries, few at most, together, longer ones alone."""
     out = np.zeros((n, dense.shape[1]), np.float32)
-    step = 1 << 12
-    for a in range(0, len(number), step):
-        part = slice(a, a + step)
-        value = dense[word[part]]
-        if weight is not None:
-            value *= weight[part, None]
-        head = np.flatnonzero(np.concatenate([[True], number[part][1:] != number[part][:-1]]))
-        out[number[part][head]] += np.add.reduceat(value, head, axis=0)
+    many = np.bincount(number, minlength=n)
+    first = np.cumsum(many) - many
+    weight = np.ones(len(number), np.float32) if weight is None else weight
+    short = np.flatnonzero(many <= few)
+    short = short[np.argsort(many[short], kind="stable")]
+    ends = np.searchsorted(many[short], np.arange(1, few + 2))
+    for size, low, high in zip(range(1, few + 1), ends[:-1].tolist(), ends[1:].tolist()):
+        step = max(1, most // size)
+        for a in range(low, high, step):
+            rows = short[a : min(a + step, high)]
+            at = first[rows, None] + np.arange(size)
+            out[rows] = np.matmul(weight[at][:, None, :], dense[word[at]])[:, 0]
+    for r in np.flatnonzero(many > few).tolist():
+        for a in range(first[r], first[r] + many[r], most):
+            part = slice(a, min(a + most, first[r] + many[r]))
+            out[r] += weight[part] @ dense[word[part]]
     return out
 
 
@@ -358,12 +366,12 @@ class Space:
         return out.astype(np.float32) * self.idf[:, None].astype(np.float32)
 
 
-def latent_space(table: DataFrame, seed: int, rank: int, rest: int, fit_passages: int) -> Space:
+def latent_space(table: DataFrame, seed: int, rank: int, rest: int, fit_passages: int | None = None) -> Space:
     """The latent space of a corpus's passages.
 
-    Counts are over all half passages of all documents.  Randomised SVD with one power step: the range of (A'A) (A'A) Omega, A
-    being the TF-IDF vectors of the half passages of documents chosen by hash, fit_passages of them at about most.  Tasks add up
-    their own share; what is sent is one sketch of WORDS by rank for each running task, whatever the size of the corpus.
+    Counts are over all half passages of all documents, and so is the randomised SVD with one power step: the range of (A'A) (A'A) Omega, A
+    being the TF-IDF vectors of the half passages.  Tasks add up their own share; what is sent is one sketch of WORDS by rank for each
+    running task, whatever the size of the corpus.  Only a caller that names fit_passages has it fitted on about so many, those of documents chosen by hash.
     """
     spark = table.sparkSession
 
@@ -377,7 +385,7 @@ def latent_space(table: DataFrame, seed: int, rank: int, rest: int, fit_passages
     df = added(table, count, (WORDS + 1,), np.int64)
     total, df = int(df[WORDS]), df[:WORDS]
     idf = np.log((total + 1) / (df + 1)) + 0.1
-    chosen = table if total <= fit_passages else written(table.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * fit_passages / total)))
+    chosen = table if fit_passages is None or total <= fit_passages else written(table.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * fit_passages / total)))
     basis = np.random.default_rng(seed).standard_normal((WORDS, rank)).astype(np.float32)
     for _ in range(2):
         if not basis.shape[1]:  # no words at all
@@ -391,9 +399,9 @@ def latent_space(table: DataFrame, seed: int, rank: int, rest: int, fit_passages
                 number, start = runs_of(key)
                 w = weigh(idf, number, word, len(start))
                 y = times(w, number, word, len(start), basis)
-                order = np.argsort(word, kind="stable")
-                got, g = np.unique(word[order], return_inverse=True)
-                z[got] += times(w[order], g, number[order], len(got), y)
+                order = np.argsort(word.astype(np.uint16), kind="stable")  # of 16 bits a radix sort
+                g, heads = runs_of(word[order])
+                z[word[order[heads]]] += times(w[order], g, number[order], len(heads), y)
             return z
 
         basis = orthonormal(added(chosen, sketch, basis.shape, np.float32))
@@ -451,7 +459,7 @@ def near(table: DataFrame, items: Items, space: Space, cosine: float, exact_cosi
             found = []
             for a, usable, exact in blocks:
                 for s in range(0, len(both), 4096):
-                    p, k = np.nonzero(both[s : s + 4096] @ latent[:, a + usable] >= cosine)
+                    p, k = np.divmod(np.flatnonzero(both[s : s + 4096] @ latent[:, a + usable] >= cosine), max(1, len(usable)))
                     p, k = p + s, usable[k]
                     if exact_cosine is not None:
                         shared = dots(one[p], k, known_words, ends, exact)
@@ -470,18 +478,18 @@ def near(table: DataFrame, items: Items, space: Space, cosine: float, exact_cosi
     return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("item"))).alias("item"))
 
 
-def dots(p: np.ndarray, k: np.ndarray, words: np.ndarray, ends: np.ndarray, exact: np.ndarray, most: int = 1 << 21) -> np.ndarray:
-    """Sums of the weights in row k of exact of the words of half passage p, for many pairs."""
+def dots(p: np.ndarray, k: np.ndarray, words: np.ndarray, ends: np.ndarray, exact: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """Sums of the weights in row k of exact of the words of half passage p, for many pairs: their first words, then their second ones and so on."""
     out = np.zeros(len(p), np.float32)
-    many = ends[p + 1] - ends[p]
-    bounds = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + most, most)) if len(p) else [0]
-    bounds = [0, *(int(b) for b in bounds[1:-1]), len(p)]
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        m = many[a:b]
-        if not m.sum():
-            continue
-        index = np.arange(m.sum()) + np.repeat(ends[p[a:b]] - (np.cumsum(m) - m), m)
-        out[a:b] = np.bincount(np.repeat(np.arange(b - a), m), weights=exact[np.repeat(k[a:b], m), words[index]], minlength=b - a)
+    flat = exact.ravel()
+    for a in range(0, len(p), most):
+        first, many = ends[p[a : a + most]], ends[p[a : a + most] + 1] - ends[p[a : a + most]]
+        order = np.argsort(-many, kind="stable")
+        first, row, left = first[order], k[a : a + most][order] * exact.shape[1], np.searchsorted(-many[order], -np.arange(many.max()))
+        total = np.zeros(len(order))
+        for j, n in enumerate(left.tolist()):  # n have more words than j
+            total[:n] += flat[row[:n] + words[first[:n] + j]]
+        out[a + order] = total
     return out
 
 
@@ -604,7 +612,7 @@ def with_candidates(train: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def leaked(
     documents: DataFrame, eval_items: DataFrame, share: float = 0.6, changed: float = 0.1, most_gap: int = 80, cosine: float = 0.27, exact_cosine: float = 0.22, covered: float = 0.34, rank: int = 64, rest: int = 64,
-    block_items: int = 20_000, fit_passages: int = 100_000, seed: int = 7,
+    block_items: int = 20_000, fit_passages: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """Training documents and the evaluation items of which one passage holds at least share of the letters, in order.
 
@@ -775,7 +783,7 @@ def common_words(item: np.ndarray, words: np.ndarray) -> int:
 
 
 def paraphrased(
-    documents: DataFrame, eval_items: DataFrame, cosine: float = 0.9, order: float = 0.5, telling: int = 4, answer: float = 0.75, rank: int = 64, block_items: int = 20_000, fit_passages: int = 100_000, seed: int = 7
+    documents: DataFrame, eval_items: DataFrame, cosine: float = 0.9, order: float = 0.5, telling: int = 4, answer: float = 0.75, rank: int = 64, block_items: int = 20_000, fit_passages: int | None = None, seed: int = 7
 ) -> DataFrame:
     """Training documents one of whose passages says what an item says in other words: doc_id, item_id, words, answer, distinct.
 
@@ -800,6 +808,7 @@ def paraphrased(
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             keys, words_of, idf = model.value
             rarest = [np.unique(x)[np.argsort(-idf[np.unique(x)], kind="stable")][:telling] for x in words_of]
+            asked = [x.tolist() for x in rarest]
             for batch in batches:
                 for a, b in row_slices(batch["text"]):
                     text = read_letters(*code_points(batch["text"][a:b]), drop_labels=True)
@@ -808,7 +817,11 @@ def paraphrased(
                     rows = []
                     for r, (doc, named) in enumerate(zip(batch["doc_id"][a:b].to_pylist(), batch["item"][a:b].to_pylist())):
                         own = word[heads[r] : heads[r + 1]]
+                        present = set(own.tolist())
                         for k in named:
+                            # No window holds more of the telling words than the whole row.
+                            if sum(w in present for w in asked[k]) / max(1, len(asked[k])) < answer:
+                                continue
                             best = best_passage(own, words_of[k], rarest[k], order, answer)
                             if best:
                                 rows.append((doc, keys[k], *best))
@@ -828,11 +841,10 @@ def best_passage(own: np.ndarray, item: np.ndarray, rarest: np.ndarray, order: f
         return None
     size, best = 2 * len(item), None
     telling = np.stack([np.concatenate([[0], np.cumsum(own == w)]) for w in rarest])
-    for start in range(0, max(1, len(own) - len(item)), len(item)):
-        stop = min(len(own), start + size)
-        has = float(np.mean(telling[:, stop] > telling[:, start]))
-        if has < answer:
-            continue
+    starts = np.arange(0, max(1, len(own) - len(item)), len(item))
+    stops = np.minimum(len(own), starts + size)
+    answers = np.mean(telling[:, stops] > telling[:, starts], axis=0)
+    for start, stop, has in zip(*(x[answers >= answer].tolist() for x in (starts, stops, answers))):
         words = common_words(item, own[start:stop]) / len(item)
         if words >= order and (best is None or (words, has) > best):
             best = (words, has)
